@@ -31,7 +31,7 @@ def p2_totals(spark: SparkSession, d: str) -> DataFrame:
         # The mean is taken of the rounded total, so that the last digit does not hang on the order of summation.
         total, n = F.round(f"{v}_sum_{p}d", 9), F.col(f"{v}_count_{p}d")
         return [
-            total.alias(f"{v}_sum_{p}d"), F.round(F.try_divide(total, n), 9).alias(f"{v}_avg_{p}d"), n,
+            total.alias(f"{v}_sum_{p}d"), F.try_divide(total, n).alias(f"{v}_avg_{p}d"), n,
             F.round(f"{v}_min_{p}d", 9).alias(f"{v}_min_{p}d"), F.round(f"{v}_max_{p}d", 9).alias(f"{v}_max_{p}d"),
         ]
 
@@ -80,7 +80,7 @@ _FEATURES_DAILY = """
 def _trailing(v: str, name: str, p: int) -> str:
     w = f"u.day > d.day - {p}"
     return f"""
-      coalesce(round(sum(u.{v}) FILTER (WHERE {w}), 9), 0.0) AS {name}_sum_{p}d, round(round(sum(u.{v}) FILTER (WHERE {w}), 9) / count(u.{v}) FILTER (WHERE {w}), 9) AS {name}_avg_{p}d,
+      coalesce(round(sum(u.{v}) FILTER (WHERE {w}), 9), 0.0) AS {name}_sum_{p}d, round(sum(u.{v}) FILTER (WHERE {w}), 9) / nullif(count(u.{v}) FILTER (WHERE {w}), 0) AS {name}_avg_{p}d,
       count(u.{v}) FILTER (WHERE {w}) AS {name}_count_{p}d, round(min(u.{v}) FILTER (WHERE {w}), 9) AS {name}_min_{p}d,
       round(max(u.{v}) FILTER (WHERE {w}), 9) AS {name}_max_{p}d"""
 
