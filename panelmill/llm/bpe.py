@@ -19,6 +19,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -172,7 +173,7 @@ def encoder(path: str) -> Encoder:
 
 def stretches(ids: pa.Array, texts: pa.Array) -> Iterator[tuple[pa.Array, list[str | None]]]:
     """Consecutive rows of about STRETCH characters (bytes), at least one row each."""
-    size = np.cumsum(texts.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype("int64")) if len(texts) else np.zeros(0)
+    size = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype("int64")) if len(texts) else np.zeros(0)
     at = 0
     while at < len(texts):
         base = size[at - 1] if at else 0
