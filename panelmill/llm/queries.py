@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from panelmill.functions.scalar import is_finite
 from panelmill.llm.bpe import encode_texts
 from panelmill.llm.packing import pack_documents
+from panelmill.llm.subjects import assign_subjects
 from panelmill.llm.topn import latest_rows, top_n_per_group
 from panelmill.sources.tables import table
 
@@ -38,7 +39,11 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return pack_documents(encode_texts(documents, VOCABULARY, counts_only=True), CAPACITY, shards)
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p6_ids, p7_containers)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return assign_subjects(table(spark, d, "documents"), table(spark, d, "subject_labels"), table(spark, d, "subjects"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p6_ids, p7_containers, p8_found)}
 
 ORACLE = {
     "p3_found": """
