@@ -41,14 +41,20 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probabilities: lis
     # Groups are few beside rows; the join is left to Catalyst (broadcast when small, else by group with skew splitting).
     joined = rows.join(brackets, by) if by else rows.crossJoin(F.broadcast(brackets))
     keys = [*by, "p"]
-    below = joined.groupBy(*keys).agg(F.count_if(F.col("v") < F.col("a")).alias("below"))
-    inside = joined.where((F.col("v") >= F.col("a")) & (F.col("v") <= F.col("b"))).groupBy(*keys, "at", "v").agg(F.count("*").alias("c"))
+    v, a, b = F.col("v"), F.col("a"), F.col("b")
+    # In small groups the two order statistics may lie right beside the bracket.
+    around = joined.groupBy(*keys).agg(F.count_if(v < a).alias("below"), F.max(F.when(v < a, v)).alias("prev"), F.min(F.when(v > b, v)).alias("next"))
+    inside = joined.where((v >= a) & (v <= b)).groupBy(*keys, "at", "v").agg(F.count("*").alias("c"))
     running = F.sum("c").over(Window.partitionBy(*keys).orderBy("v"))
-    ranked = inside.join(below, keys).select(*keys, "at", "v", (F.col("below") + running).alias("through"))
-    lower, upper = F.floor("at"), F.ceil("at")
+    ranked = inside.join(around, keys).select(*keys, "at", "v", "below", "prev", "next", (F.col("below") + running).alias("through"))
+
+    def statistic(index: Column) -> Column:
+        within = F.min(F.when(F.col("through") > index, F.col("v")))
+        return F.when(F.max("below") > F.max(index), F.max("prev")).otherwise(F.coalesce(within, F.max("next")))
+
     return (
         ranked.groupBy(*keys, "at")
-        .agg(F.min(F.when(F.col("through") > lower, F.col("v"))).alias("x"), F.min(F.when(F.col("through") > upper, F.col("v"))).alias("y"))
+        .agg(statistic(F.floor("at")).alias("x"), statistic(F.ceil("at")).alias("y"))
         .select(*keys, (F.col("x") + (F.col("y") - F.col("x")) * (F.col("at") - F.floor("at"))).alias("quantile"))
     )
 
