@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelmill.functions.scalar import epoch_micros, safe_divide
+from panelmill.functions.scalar import is_finite
 from panelmill.operators import bars as B
 from panelmill.operators import checks as K
 from panelmill.operators import costs as C
@@ -29,7 +29,9 @@ from panelmill.operators import stability as T
 from panelmill.operators import xsection as R
 from panelmill.plans import study
 from panelmill.plans.study_sql import FEATURE_LIST, ask, avg_rank, corr, ic, portfolio_summary, sensitivity, summary, temporal
+from panelmill.sources.archives import archive_plan, file_hashes
 from panelmill.sources.tables import table
+from panelmill.streaming.bars import streaming_bars
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -411,7 +413,7 @@ _LATEST = "(SELECT * FROM predictions WHERE isfinite(prediction) AND isfinite(ta
 
 def _variant_errors(s: SparkSession, d: str) -> DataFrame:
     keys = ["model", "variant", "fold", "timestamp", "symbol", "member"]
-    rows = table(s, d, "predictions").where(X.F.coalesce(F.abs("prediction") < float("inf"), F.lit(False)) & F.coalesce(F.abs("target") < float("inf"), F.lit(False)) & ~F.isnan("prediction") & ~F.isnan("target"))
+    rows = table(s, d, "predictions").where(is_finite(F.col("prediction")) & is_finite(F.col("target")))
     last = rows.groupBy(*keys).agg(F.max_by(F.struct("prediction", "target"), F.struct("loaded_at", "pred_id")).alias("x")).select(*keys, "x.*")
     e = F.col("prediction") - F.col("target")
     return last.groupBy("model", "variant").agg(F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), F.count("*").alias("n_rows"))
@@ -476,3 +478,19 @@ add(
       JOIN (SELECT model, quantile_cont(mean_value, {(1 - 0.95) / 2}) AS confidence_lower, quantile_cont(mean_value, {1 - (1 - 0.95) / 2}) AS confidence_upper FROM ({_BOOT}) GROUP BY model) USING (model)""", _SUMS),
     "mean_rank_ic pooled_break_even_cost_bps confidence_lower confidence_upper", 8,
 )
+# Sources and streaming
+add(
+    "archive_plan",
+    lambda s, d: archive_plan(s, study.symbols(), "5m", "2025-01", "2025-12"),
+    """SELECT symbol, strftime(m, '%Y-%m') AS "month", symbol || '-5m-' || strftime(m, '%Y-%m') || '.zip' AS filename, symbol || '-5m-' || strftime(m, '%Y-%m') || '.zip.CHECKSUM' AS checksum_name
+      FROM (SELECT unnest(['AF', 'AO', 'NF', 'NO', 'RF', 'RO']) AS symbol), (SELECT unnest(generate_series(DATE '2025-01-01', DATE '2025-12-01', INTERVAL 1 MONTH)) AS m)""",
+)
+add("file_inventory", lambda s, d: file_hashes(s, f"{d}/nation.parquet", f"{d}/region.parquet").withColumn("path", F.regexp_extract("path", "[^/]+$", 0)), None)
+_ORDER = "[epoch_us(ts), event_id]"
+add(
+    "streaming_bars_on_a_table",
+    lambda s, d: streaming_bars(table(s, d, "events"), "event_type", "ts", "value", F.lit(1.0), ["ts", "event_id"], "1 hour", "1 hour").withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz")),
+    f"""SELECT date_trunc('hour', ts) AS "timestamp", event_type AS symbol, arg_min(value, {_ORDER}) AS open, max(value) AS high, min(value) AS low, arg_max(value, {_ORDER}) AS close,
+      count(*)::DOUBLE AS volume, sum(value) AS quote_volume, count(*) AS trade_count FROM events GROUP BY 1, 2""",
+    "quote_volume", 6,
+)
