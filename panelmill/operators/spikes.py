@@ -5,7 +5,9 @@ Per source and field, relative to what that source normally shows:
 * **residuals** -- the signed distance, in logs, of a value from the medians of the values before
   and after it.  A value counts as departed only by what it differs from *both*, so level shifts
   and drifts leave small residuals while a brief departure leaves its whole height;
-* **season** -- residuals are scaled by the source's own dispersion in that part of the UTC day;
+* **season** -- residuals are scaled by how much the source moves around that moment (the upper
+  quartile of its moves within LOCAL values on either side, so a restless spell is no fault), and then
+  by the source's own dispersion in that part of the UTC day;
 * **tail** -- a generalised Pareto tail is fitted to the scaled residuals above their 95 % point
   (from order statistics of the exceedances, which the faults themselves hardly move), and the
   cutoff is the level that tail exceeds with a fixed risk per value;
@@ -37,6 +39,8 @@ BLOCKS = 4
 #: Histogram of |residual|: bins of a sixteenth of an octave from LOWEST on.
 PER_OCTAVE, LOWEST, BINS = 16, 1e-7, 512
 LONGEST = 64
+#: Values on either side that show how restless a source is just then.
+LOCAL = 30
 SIDE = 5
 TRIMS = 4
 SKETCH, SPIKE, RUNS, STUCK, IMPOSSIBLE = range(5)
@@ -67,6 +71,22 @@ def both_sides(x: np.ndarray, side: int = SIDE) -> np.ndarray:
     return np.where(np.isnan(a) | (np.sign(a) != np.sign(b)), 0.0, r)
 
 
+def local_scale(x: np.ndarray, reach: int = LOCAL) -> np.ndarray:
+    """Upper quartile of the moves around each value, not under half of that of all of ``x`` nor under the least move."""
+    move = np.abs(np.diff(x))
+    if not (move > 0).any():
+        return np.full(len(x), np.inf)
+    whole = max(0.5 * np.quantile(move, 0.75), move[move > 0].min())
+    padded = np.concatenate([np.full(reach, np.nan), move, np.full(reach + 1, np.nan)])
+    windows = np.lib.stride_tricks.sliding_window_view(padded, 2 * reach)[: len(x)]
+    quartile = np.empty(len(x))
+    for at in range(0, len(x), 8192):
+        w = np.sort(windows[at : at + 8192], axis=1)  # NaN last
+        k = (~np.isnan(w)).sum(axis=1)
+        quartile[at : at + len(w)] = w[np.arange(len(w)), np.maximum(np.ceil(0.75 * k).astype(int) - 1, 0)]
+    return np.fmax(quartile, whole)
+
+
 def run_lengths(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each value: the length of the run of equal values it is in, and its place in it (from 0)."""
     n = len(values)
@@ -178,7 +198,8 @@ def scan_chunk(pdf: pd.DataFrame, fields: int, price_fields: int) -> pd.DataFram
         put(IMPOSSIBLE, f, at[hit], block[hit], np.zeros(hit.sum(), "int64"), np.zeros(hit.sum()))
         live = ~null & ~bad & trades
         use = np.flatnonzero(live & (v > 0))
-        r = both_sides(np.log(v[use]))
+        x = np.log(v[use]) if f < price_fields else np.log1p(v[use])  # small counts are coarse in plain logs
+        r = both_sides(x) / local_scale(x) if len(use) > 2 else np.zeros(len(use))
         own = core[use]
         b = bin_of(r)
         key = block[use][own] * (BINS + 1) + b[own] + 1
@@ -207,7 +228,7 @@ def flag_implausible(
     price_fields: list[str] = ["close"],  # noqa: B006
     volume_fields: list[str] = ["quote_volume", "trade_count"],  # noqa: B006
     activity: str = "volume",
-    risk: float = 3e-6,
+    risk: float = 5e-6,
     stuck_risk: float = 1e-3,
     chunk_days: int = 14,
     margin_hours: int = 12,
