@@ -40,7 +40,7 @@ BLOCKS = 4
 PER_OCTAVE, LOWEST, BINS = 16, 1e-7, 512
 LONGEST = 64
 #: Values on either side that show how restless a source is just then.
-LOCAL = 30
+LOCAL, LOCAL_STEP = 30, 4
 SIDE = 5
 TRIMS = 4
 SKETCH, SPIKE, RUNS, STUCK, IMPOSSIBLE = range(5)
@@ -77,14 +77,13 @@ def local_scale(x: np.ndarray, reach: int = LOCAL) -> np.ndarray:
     if not (move > 0).any():
         return np.full(len(x), np.inf)
     whole = max(0.5 * np.quantile(move, 0.75), move[move > 0].min())
-    padded = np.concatenate([np.full(reach, np.nan), move, np.full(reach + 1, np.nan)])
-    windows = np.lib.stride_tricks.sliding_window_view(padded, 2 * reach)[: len(x)]
-    quartile = np.empty(len(x))
-    for at in range(0, len(x), 8192):
-        w = np.sort(windows[at : at + 8192], axis=1)  # NaN last
-        k = (~np.isnan(w)).sum(axis=1)
-        quartile[at : at + len(w)] = w[np.arange(len(w)), np.maximum(np.ceil(0.75 * k).astype(int) - 1, 0)]
-    return np.fmax(quartile, whole)
+    padded = np.concatenate([np.full(reach, np.nan), move, np.full(reach + 1 + LOCAL_STEP, np.nan)])
+    # The scale changes slowly: one window serves LOCAL_STEP neighbouring values.
+    windows = np.lib.stride_tricks.sliding_window_view(padded, 2 * reach)[LOCAL_STEP // 2 : len(x) + LOCAL_STEP // 2 : LOCAL_STEP]
+    w = np.sort(windows, axis=1)  # NaN last
+    k = (~np.isnan(w)).sum(axis=1)
+    quartile = w[np.arange(len(w)), np.maximum(np.ceil(0.75 * k).astype(int) - 1, 0)]
+    return np.fmax(np.repeat(quartile, LOCAL_STEP)[: len(x)], whole)
 
 
 def run_lengths(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
