@@ -284,25 +284,26 @@ def flag_implausible(
     )
 
     def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        sketch, runs = pdf[pdf["kind"] == SKETCH], pdf[pdf["kind"] == RUNS]
-        kinds, blocks, cuts = [], [], []
-        if len(sketch):
-            cut = tail_cutoff(sketch["block"].to_numpy(), sketch["bin"].to_numpy(), sketch["n"].to_numpy(), risk)
-            kinds += [SPIKE] * BLOCKS
-            blocks += range(BLOCKS)
-            cuts += cut.tolist()
-        if len(runs):
-            cut = stuck_cutoff(runs["bin"].to_numpy(), runs["n"].to_numpy(), stuck_risk)
-            kinds += [STUCK] * BLOCKS
-            blocks += range(BLOCKS)
-            cuts += [cut] * BLOCKS
-        return pd.DataFrame({"src": key[0], "field": key[1], "kind": kinds, "block": blocks, "cut": cuts})
+        rows: list[tuple[int, int, int, float]] = []
+        kind, field = pdf["kind"].to_numpy(), pdf["field"].to_numpy()
+        block, bins, n = pdf["block"].to_numpy(), pdf["bin"].to_numpy(), pdf["n"].to_numpy()
+        for f in range(n_fields):
+            own = (field == f) & (kind == SKETCH)
+            if own.any():
+                rows += [(f, SPIKE, k, float(c)) for k, c in enumerate(tail_cutoff(block[own], bins[own], n[own], risk))]
+            own = (field == f) & (kind == RUNS)
+            if own.any():
+                cut = stuck_cutoff(bins[own], n[own], stuck_risk)
+                rows += [(f, STUCK, k, cut) for k in range(BLOCKS)]
+        out = pd.DataFrame(rows, columns=["field", "kind", "block", "cut"])
+        out.insert(0, "src", key[0])
+        return out
 
     cutoffs = (
         scanned.where(F.col("kind").isin(SKETCH, RUNS))
         .groupBy("src", "field", "kind", "block", "bin")
         .agg(F.sum("x").alias("n"))
-        .groupBy("src", "field")
+        .groupBy("src")
         .applyInPandas(fit, fitted)
     )
     c, k = scanned.where(F.col("kind").isin(SPIKE, STUCK)).alias("c"), cutoffs.alias("k")
