@@ -151,6 +151,14 @@ def seeded_block_bootstrap(series: DataFrame, values: list[str], length: int, re
     return series.select(*by, order, *values, F.col(seed).alias("__seed")).groupBy(*by).applyInPandas(run, fields)
 
 
+def portfolio_distribution(samples: DataFrame, cost: float, annual: float, by: list[str]) -> DataFrame:
+    """Per resample: cohorts' bootstrap means weighted equally, with net return, annualised returns and break-even cost."""
+    g, t = F.col("gross"), F.col("mean_turnover")
+    rows = samples.groupBy(*by, "resample").agg(F.avg("gross_return").alias("gross"), F.avg("turnover").alias("mean_turnover"))
+    net = g - t * cost / 10_000.0
+    return rows.select(*by, "resample", "mean_turnover", (g * annual).alias("gross_annualized_return"), (net * annual).alias("net_annualized_return"), (F.try_divide(g, t) * 10_000.0).alias("break_even_cost_bps"))
+
+
 def seeded_permutation_ic(df: DataFrame, permutations: int, seed: int) -> DataFrame:
     """Mean rank IC per (model, fold, permutation) with rows permuted by a seeded uniform matrix.
 

@@ -24,8 +24,10 @@ def con():
     return oracle.connect(SF)
 
 
-@pytest.fixture(autouse=True)
+@pytest.fixture(autouse=True, scope="module")
 def _uncache(request):
     yield
-    if "spark" in request.fixturenames:
-        request.getfixturevalue("spark").catalog.clearCache()
+    from pyspark.sql import SparkSession
+
+    if session := SparkSession.getActiveSession():
+        session.catalog.clearCache()
