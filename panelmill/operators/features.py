@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from panelmill.functions.scalar import cyclic, epoch_micros, positive_log, safe_divide
-from panelmill.operators.bars import by_symbol
+from panelmill.functions.scalar import cyclic, epoch_micros, safe_divide
+from panelmill.operators.bars import by_symbol, complete_cross_sections
 
 FEATURES = [
     "return_1", "return_3", "return_12", "return_48", "log_range", "close_open_return", "realized_vol_12", "realized_vol_48",
@@ -103,11 +103,6 @@ def execution_returns(bars: DataFrame, holding: int, entry: int = 1) -> DataFram
 
 def finalize_panel(panel: DataFrame, features: list[str], expected: int | None = None) -> DataFrame:
     """Complete rows and complete cross-sections only, features as float, targets recentred on them."""
-    from panelmill.operators.bars import complete_cross_sections
-
     kept = complete_cross_sections(panel.dropna(subset=[*features, "raw_target", "target"]), expected)
     return kept.withColumns({f: F.col(f).cast("float") for f in features}).withColumn("target", demean("raw_target"))
 
-
-def safe_log(name: str) -> Column:
-    return positive_log(F.col(name))

@@ -90,11 +90,12 @@ add(
     "ratio",
 )
 add("forward_label", lambda s, d: study.labelled(s, d).select("symbol", "timestamp", "label_end_timestamp", "raw_target", "target"), ask('SELECT symbol, "timestamp", label_end_timestamp, raw_target, target FROM lab'), "raw_target target")
+_USABLE = f"SELECT *, count(*) OVER (PARTITION BY us) AS n FROM lab WHERE {' AND '.join(f'{f} IS NOT NULL' for f in X.FEATURES)} AND raw_target IS NOT NULL"
+_PANEL = f", usable AS ({_USABLE}), panel AS (SELECT * FROM usable WHERE n = (SELECT max(n) FROM usable))"
 add(
     "research_panel",
     lambda s, d: study.panel(s, d).select("symbol", "timestamp", "raw_target", "target", F.col("return_12").cast("double").alias("return_12")),
-    ask(f"""SELECT symbol, "timestamp", raw_target, raw_target - avg(raw_target) OVER (PARTITION BY us) AS target, return_12::FLOAT::DOUBLE AS return_12 FROM
-      (SELECT *, count(*) OVER (PARTITION BY us) AS n FROM lab WHERE {' AND '.join(f'{f} IS NOT NULL' for f in X.FEATURES)} AND raw_target IS NOT NULL) WHERE n = 6"""),
+    ask('SELECT symbol, "timestamp", raw_target, raw_target - avg(raw_target) OVER (PARTITION BY us) AS target, return_12::FLOAT::DOUBLE AS return_12 FROM panel', _PANEL),
     "raw_target target return_12",
 )
 add(
@@ -137,8 +138,8 @@ add(
 # Ranks and rank correlation
 add(
     "average_tie_rank",
-    lambda s, d: table(s, d, "supplier").select("s_suppkey", R.average_rank("s_nationkey", []).alias("average_rank")),
-    "SELECT s_suppkey, rank() OVER (ORDER BY s_nationkey) + (count(*) OVER (PARTITION BY s_nationkey) - 1) / 2.0 AS average_rank FROM supplier",
+    lambda s, d: table(s, d, "part").select("p_partkey", R.average_rank("p_size", ["p_brand"]).alias("average_rank")),
+    "SELECT p_partkey, rank() OVER (PARTITION BY p_brand ORDER BY p_size) + (count(*) OVER (PARTITION BY p_brand, p_size) - 1) / 2.0 AS average_rank FROM part",
 )
 add("rank_ic_timeline", study.ic_timeline, ask(f'SELECT model, fold, make_timestamp(us) AS "timestamp", rank_ic, symbols FROM icfold'), "rank_ic")
 add("prediction_summary", lambda s, d: R.summarize_predictions(study.predictions(s, d)), ask(summary("pred", "model")), _IC)
@@ -466,7 +467,7 @@ add(
     ),
     ask(f"""SELECT p.symbol, count(*) AS panel_rows, min(p."timestamp") AS first_panel_timestamp, max(p."timestamp") AS last_panel_timestamp, max(abs(p.end_us - h.end_us)) AS max_label_end_error_us, max(abs(p.raw_target - h.raw_target)) AS max_raw_target_abs_error,
       avg(p.raw_target) AS mean_raw_target, avg(h.execution_return) AS mean_execution_return, avg(h.execution_return - p.raw_target) AS mean_execution_minus_label, avg(abs(h.execution_return - p.raw_target)) AS mean_abs_execution_minus_label
-      FROM (SELECT * FROM lab WHERE {' AND '.join(f'{f} IS NOT NULL' for f in X.FEATURES)} AND raw_target IS NOT NULL) p LEFT JOIN (SELECT * FROM href WHERE horizon_bars = 12) h USING (symbol, us) GROUP BY p.symbol"""),
+      FROM panel p LEFT JOIN (SELECT * FROM href WHERE horizon_bars = 12) h USING (symbol, us) GROUP BY p.symbol""", _PANEL),
     "max_raw_target_abs_error mean_raw_target mean_execution_return mean_execution_minus_label mean_abs_execution_minus_label",
 )
 add(
