@@ -14,6 +14,13 @@ def require_columns(df: DataFrame, columns: list[str], name: str = "frame") -> N
         raise ValueError(f"{name} lacks columns: {missing}")
 
 
+def positive_distinct(values: list[int], name: str = "values") -> list[int]:
+    """Sorted distinct positive integers (horizons, block lengths, breadths); anything else is an error."""
+    if not values or any(isinstance(v, bool) or int(v) != v or v <= 0 for v in values):
+        raise ValueError(f"{name} must be positive whole numbers")
+    return sorted({int(v) for v in values})
+
+
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     """Keys that occur more than once, with ``occurrences``."""
     return df.groupBy(*keys).agg(F.count("*").alias("occurrences")).where("occurrences > 1")
@@ -103,3 +110,22 @@ def cost_monotonicity(phases: DataFrame, by: list[str], value: str = "pooled_net
 
     step = F.col(value) - F.lag(value).over(Window.partitionBy(*by).orderBy("cost_bps"))
     return phases.select(*by, step.alias("step")).groupBy(*by).agg(F.count("step").alias("steps"), F.count_if(F.col("step") > 1e-15).alias("rising_steps"))
+
+
+def cohort_violations(cohorts: DataFrame, holding: int, by: list[str] = ["model"]) -> DataFrame:  # noqa: B006
+    """Per group of cohort metrics: cohorts missing from 0 .. holding - 1, unexpected or repeated ones, and unusable numbers."""
+    numbers = [c for c in ("gross_mean_return", "mean_net_return", "mean_turnover", "gross_cumulative_log_return", "cumulative_net_log_return") if c in cohorts.columns]
+    unusable = any_of([~is_finite(F.col(c)) for c in numbers] + [F.col("period_count") <= 0, F.col("mean_turnover") <= 0])
+    inside = (F.col("cohort") >= 0) & (F.col("cohort") < holding)
+    return cohorts.groupBy(*by).agg(
+        (F.lit(holding) - F.countDistinct(F.when(inside, F.col("cohort")))).alias("missing_cohorts"),
+        F.count_if(~inside).alias("unexpected_cohorts"),
+        (F.count("*") - F.countDistinct("cohort")).alias("repeated_cohorts"),
+        F.count_if(unusable).alias("unusable_rows"),
+    )
+
+
+def coverage_violations(assigned: DataFrame, expected: DataFrame, keys: list[str], per_key: int) -> DataFrame:
+    """Expected keys whose number of assigned rows is not ``per_key`` (regime labels per timestamp, cohorts per segment)."""
+    held = assigned.groupBy(*keys).agg(F.count("*").alias("assigned_rows"))
+    return expected.select(*keys).distinct().join(held, keys, "left").select(*keys, F.coalesce("assigned_rows", F.lit(0)).alias("assigned_rows")).where(F.col("assigned_rows") != per_key)

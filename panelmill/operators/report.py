@@ -72,6 +72,12 @@ def best_row(df: DataFrame, metric: str, name: str = "model"):
     return df.agg(F.min_by(F.struct(name, metric), F.struct((-F.col(metric)).alias("m"), F.col(name))).alias("x")).select("x.*").first()
 
 
+def best_per_group(df: DataFrame, by: list[str], metric: str, name: str = "model") -> DataFrame:
+    """The name with the largest metric in each group, the first name among equals."""
+    order = F.struct((-F.col(metric)).alias("m"), F.col(name))
+    return df.groupBy(*by).agg(F.min_by(name, order).alias(name), F.max(metric).alias(metric))
+
+
 def key_findings(oos: DataFrame, break_even: DataFrame, bootstrap: DataFrame, focus: float) -> list[dict[str, Any]]:
     """The findings that the tables support, one record each."""
     ic, be = best_row(oos, "mean_rank_ic"), best_row(break_even, "pooled_break_even_cost_bps")
@@ -100,3 +106,15 @@ def require_self_contained(page: str) -> None:
         raise ValueError(f"report refers to something outside: {found}")
     if missing := [t for t in REQUIRED if t not in low]:
         raise ValueError(f"report lacks: {missing}")
+
+
+def report_of_tables(heading: str, tables: dict[str, tuple[DataFrame, list[str]]], findings: Sequence[dict[str, Any]] = (), charts: dict[str, tuple[str, str]] | None = None) -> str:
+    """A report of evidence tables, given as name -> (table, order); ``charts`` adds bars of (label, value) to a table's section."""
+    sections = [("Key findings", render_table(list(findings), ["finding", "model", "value", "unit"]))] if findings else []
+    for name, (df, order) in tables.items():
+        rows = small_rows(df, order)
+        content = render_table(rows, df.columns)
+        if charts and name in charts:
+            content += render_bars(rows, *charts[name], heading=title(name))
+        sections.append((title(name), content))
+    return build_report(heading, sections)

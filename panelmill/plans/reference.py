@@ -27,6 +27,7 @@ from panelmill.operators import sequences as E
 from panelmill.operators import splits as L
 from panelmill.operators import stability as T
 from panelmill.operators import xsection as R
+from panelmill.operators.report import best_per_group
 from panelmill.plans import study
 from panelmill.plans.study_sql import FEATURE_LIST, ask, avg_rank, corr, ic, portfolio_summary, sensitivity, summary, temporal
 from panelmill.sources.archives import archive_plan, file_hashes
@@ -479,6 +480,24 @@ add(
       JOIN (SELECT model, quantile_cont(mean_value, {(1 - 0.95) / 2}) AS confidence_lower, quantile_cont(mean_value, {1 - (1 - 0.95) / 2}) AS confidence_upper FROM ({_BOOT}) GROUP BY model) USING (model)""", _SUMS),
     "mean_rank_ic pooled_break_even_cost_bps confidence_lower confidence_upper", 8,
 )
+add(
+    "cohort_validation",
+    lambda s, d: K.cohort_violations(study.break_even(s, d), study.HOLDING),
+    ask(f"""SELECT model, {study.HOLDING} - count(DISTINCT cohort) FILTER (WHERE cohort BETWEEN 0 AND {study.HOLDING - 1}) AS missing_cohorts, count(*) FILTER (WHERE cohort NOT BETWEEN 0 AND {study.HOLDING - 1}) AS unexpected_cohorts,
+      count(*) - count(DISTINCT cohort) AS repeated_cohorts, count(*) FILTER (WHERE NOT isfinite(gross_mean_return) OR NOT isfinite(mean_turnover) OR NOT isfinite(gross_cumulative_log_return) OR period_count <= 0 OR mean_turnover <= 0) AS unusable_rows
+      FROM becoh GROUP BY model"""),
+)
+add(
+    "regime_coverage_gate",
+    lambda s, d: K.coverage_violations(study.regimes(s, d), study.predictions(s, d), ["fold", "timestamp"], 3),
+    ask('SELECT * FROM (SELECT e.fold, e."timestamp", count(r.regime) AS assigned_rows FROM (SELECT DISTINCT fold, "timestamp" FROM pred) e LEFT JOIN reg r USING (fold, "timestamp") GROUP BY 1, 2) WHERE assigned_rows <> 3'),
+)
+add(
+    "best_model_per_horizon",
+    lambda s, d: best_per_group(R.summarize_predictions(study.horizon_joined(s, d), ["model", "horizon_bars"]), ["horizon_bars"], "mean_rank_ic"),
+    ask(f"SELECT horizon_bars, first(model ORDER BY mean_rank_ic DESC, model) AS model, max(mean_rank_ic) AS mean_rank_ic FROM ({summary('hjoin', 'model, horizon_bars')}) GROUP BY horizon_bars"),
+    "mean_rank_ic",
+)
 # Sources and streaming
 add(
     "archive_plan",

@@ -132,6 +132,9 @@ def test_report(spark):
     rows = H.small_rows(oos, ["model"])
     page = H.build_report("R & D", [("Table", H.render_table(rows, ["model", "mean_rank_ic"])), ("Chart", H.render_bars(rows, "model", "mean_rank_ic", "IC"))])
     assert "b&lt;" in page and "b<" not in page and page == H.build_report("R & D", [("Table", H.render_table(rows, ["model", "mean_rank_ic"])), ("Chart", H.render_bars(rows, "model", "mean_rank_ic", "IC"))])
+    whole = H.report_of_tables("All", {"oos_metrics": (oos, ["model"])}, f, {"oos_metrics": ("model", "mean_rank_ic")})
+    assert "Oos Metrics" in whole and "<svg" in whole and "Key findings" in whole
+    assert H.best_per_group(oos.selectExpr("*", "1 as h"), ["h"], "mean_rank_ic").first()["model"] == "a"
     with pytest.raises(ValueError):
         H.build_report("x", [("y", "<a href='https://z'>")])
     with pytest.raises(ValueError):

@@ -241,6 +241,22 @@ def test_checks(spark):
     assert got["empty"] == 0 and got["not_finite"] >= 3 and got["duplicate_keys"] == 1
 
 
+def test_positive_distinct():
+    assert K.positive_distinct([12, 3, 3]) == [3, 12]
+    for bad in ([], [0], [-1, 2], [1.5], [True]):
+        with pytest.raises(ValueError):
+            K.positive_distinct(bad)
+
+
+def test_cohort_and_coverage_violations(spark):
+    rows = [("m", c, 10, 1e-4, 1.0) for c in (0, 1, 1, 5)] + [("m", 2, 0, float("nan"), 1.0)]
+    df = spark.createDataFrame(rows, "model string, cohort int, period_count bigint, gross_mean_return double, mean_turnover double")
+    assert K.cohort_violations(df, 4).first()[1:] == (1, 1, 1, 1)
+    keys = spark.createDataFrame([(1,), (2,), (3,)], "k int")
+    got = K.coverage_violations(spark.createDataFrame([(1,), (1,), (2,)], "k int"), keys, ["k"], 2).collect()
+    assert sorted((r["k"], r["assigned_rows"]) for r in got) == [(2, 1), (3, 0)]
+
+
 def test_flagship_plan_stays_in_the_jvm(spark):
     from panelmill.plans import flagship
 
