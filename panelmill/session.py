@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -28,9 +32,32 @@ def local_session(cpus: int | str = "*", app: str = "panelmill", shuffle_partiti
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give this package to the session's Python workers, once per application.
+
+    Workers import the functions they run by name; they need not have the package installed or share
+    the driver's working folder.
+    """
+    context, home = spark.sparkContext, Path(__file__).parent
+    if context.applicationId in _SHIPPED or not home.is_dir():
+        return
+    folder = tempfile.mkdtemp(prefix="panelmill-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = f"{folder}/{home.name}.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for file in sorted(home.rglob("*.py")):
+            z.write(file, file.relative_to(home.parent))
+    context.addPyFile(archive)  # served by the driver to every executor, later ones too
+    _SHIPPED.add(context.applicationId)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the session; a temporary one only where none is set (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None) or os.environ.get("PANELMILL_CHECKPOINT_DIR")

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from panelmill.session import ship_package
+
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """Lazy scan of one table; column pruning and filters are left to Catalyst."""
+    ship_package(spark)
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
