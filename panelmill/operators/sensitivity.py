@@ -60,13 +60,17 @@ def annual_periods(interval_minutes: float, horizon: int) -> float:
     return float(round(n))
 
 
-def leave_one_out(df: DataFrame, symbols: list[str]) -> DataFrame:
-    """The rows once per excluded symbol, without that symbol's; ``symbols`` is a short driver-side list."""
-    fan = F.explode(F.array(*[F.lit(s) for s in symbols])).alias("excluded_symbol")
-    return df.select("*", fan).where(F.col("symbol") != F.col("excluded_symbol"))
+def leave_one_out(df: DataFrame, symbols: list[str] | DataFrame) -> DataFrame:
+    """The rows once per excluded symbol, without that symbol's; ``symbols`` is a driver-side list or a table with ``symbol``, of any length."""
+    if isinstance(symbols, DataFrame):
+        every = F.broadcast(symbols.agg(F.collect_set("symbol").alias("__symbols")))
+        fanned = df.crossJoin(every).withColumn("excluded_symbol", F.explode("__symbols")).drop("__symbols")
+    else:
+        fanned = df.select("*", F.explode(F.array(*[F.lit(s) for s in symbols])).alias("excluded_symbol"))
+    return fanned.where(F.col("symbol") != F.col("excluded_symbol"))
 
 
-def leave_one_out_periods(joined: DataFrame, symbols: list[str], top: int, interval: int, holding: int, by: list[str] = ["model"]) -> DataFrame:  # noqa: B006
+def leave_one_out_periods(joined: DataFrame, symbols: list[str] | DataFrame, top: int, interval: int, holding: int, by: list[str] = ["model"]) -> DataFrame:  # noqa: B006
     keys = [*by, "excluded_symbol"]
     return portfolio_periods(rank_weights(leave_one_out(joined, symbols), top, keys), interval, holding, keys)
 

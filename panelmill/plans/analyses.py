@@ -178,8 +178,8 @@ def temporal_stability(s: Study) -> Tables:
 
 
 def symbol_dependence(s: Study, symbols: Sequence[str] | None = None) -> Tables:
-    """All leave-one-out portfolios in one plan; the symbols are a short list."""
-    names = list(symbols) if symbols is not None else [r[0] for r in s.predictions.select("symbol").distinct().orderBy("symbol").limit(1000).collect()]
+    """All leave-one-out portfolios in one plan; without a list, every symbol of the predictions is left out once."""
+    names = list(symbols) if symbols is not None else s.predictions.select("symbol").distinct()
     keys = ["model", "excluded_symbol"]
     full_ic = R.summarize_predictions(s.predictions).select("model", F.col("mean_rank_ic").alias("full_mean_rank_ic"))
     ic = R.summarize_predictions(S.leave_one_out(s.predictions, names), keys).join(full_ic, "model").withColumn("rank_ic_delta", F.col("mean_rank_ic") - F.col("full_mean_rank_ic"))
@@ -212,8 +212,8 @@ def bootstrap_uncertainty(
     The seed of a prediction series is seed + 100,000 x model index + length, a portfolio's adds 50,000
     and 100,003 per cohort; the index is the place in ``models``.
     """
-    order = list(models) or [r[0] for r in s.predictions.select("model").distinct().orderBy("model").limit(1000).collect()]
-    index = F.coalesce(*[F.when(F.col("model") == m, F.lit(i)) for i, m in enumerate(order)])
+    order = list(models) or [r[0] for r in s.predictions.select("model").distinct().orderBy("model").collect()]
+    index = F.nullif(F.array_position(F.array(*[F.lit(m) for m in order]), F.col("model")), F.lit(0)) - 1
     ic = R.rank_ic(s.predictions, ["model"]).withColumn("index", index)
     samples, books = None, None
     for n in lengths:

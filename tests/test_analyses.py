@@ -97,6 +97,16 @@ def test_nulls_and_bootstrap(study):
     assert all(r["break_even_cost_bps_confidence_lower"] <= r["break_even_cost_bps_confidence_upper"] for r in rows(t["bootstrap_portfolio_summary"]))
 
 
+def test_no_symbol_and_no_model_is_cut(spark, inputs):
+    cols = "model string, fold int, timestamp timestamp_ntz, symbol string, target double, prediction double"
+    many = spark.createDataFrame([("m", 1, T0, f"S{k:04}", float(k % 7), float(k % 11)) for k in range(1003)], cols)
+    ic = A.symbol_dependence(A.Study(inputs[0].limit(0), many))["symbol_exclusion_prediction_metrics"]
+    assert {r["excluded_symbol"] for r in ic.select("excluded_symbol").collect()} == {f"S{k:04}" for k in range(1003)}
+    models = spark.createDataFrame([(f"M{k:04}", 1, T0 + timedelta(minutes=5 * t), x, float(y), float(y)) for k in range(1002) for t in range(2) for x, y in (("A", 1), ("B", 2))], cols)
+    samples = A.bootstrap_uncertainty(A.Study(inputs[0].limit(0), models), [1], [1], 2)["bootstrap_prediction_distribution"]
+    assert {(r["model"], r["resample"]) for r in samples.select("model", "resample").collect()} == {(f"M{k:04}", i) for k in range(1002) for i in range(2)}
+
+
 def test_audit_and_ablations(inputs, study):
     bars, panel, _, _ = inputs
     a = A.label_audit(study, panel)
