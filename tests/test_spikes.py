@@ -3,7 +3,7 @@ from datetime import datetime, timedelta
 import numpy as np
 import pytest
 
-from panelmill.operators.spikes import BLOCKS, both_sides, flag_implausible, run_lengths, stuck_cutoff, tail_cutoff, bin_of, weighted_quantile
+from panelmill.operators.spikes import BLOCKS, both_sides, flag_implausible, local_scale, run_lengths, stuck_cutoff, tail_cutoff, bin_of, weighted_quantile
 
 T0 = datetime(2025, 3, 1)
 SCHEMA = "bar_id long, symbol string, timestamp timestamp_ntz, close double, quote_volume double, trade_count long, volume double, src string, at int, f0 string"
@@ -77,6 +77,15 @@ def test_both_sides_ignores_level_shifts_and_trends():
     assert both_sides(spike)[10] == -4 and np.abs(np.delete(both_sides(spike), 10)).max() == 0
 
 
+def test_each_value_has_its_own_scale_window():
+    x = np.cumsum(np.random.default_rng(6).normal(0, 1, 403))
+    move = np.abs(np.diff(x))
+    whole = max(0.5 * np.quantile(move, 0.75), move[move > 0].min())
+    around = [np.sort(move[max(i - 30, 0) : i + 30]) for i in range(len(x))]
+    want = [max(w[int(np.ceil(0.75 * len(w))) - 1], whole) for w in around]
+    assert local_scale(x).tolist() == want
+
+
 def test_run_lengths():
     length, place = run_lengths(np.array([1.0, 1, 2, 3, 3, 3]))
     assert length.tolist() == [2, 2, 1, 3, 3, 3] and place.tolist() == [0, 1, 0, 0, 1, 2]
