@@ -76,14 +76,15 @@ def circular_block_sums(series: DataFrame, value: str, length: int, by: list[str
 
 
 def md5_block_bootstrap(series: DataFrame, value: str, length: int, resamples: int, seed: int, by: list[str]) -> DataFrame:
-    """Bootstrap means from whole circular blocks and one partial block, with md5 starts; SQL can repeat it.
+    """Bootstrap means from floor(n / length) whole circular blocks, with md5 starts; SQL can repeat it.
 
-    The starts (resamples x blocks) join the block sums by position.
+    The starts (resamples x blocks) join the block sums by position.  The last n mod length values of a
+    resample are not drawn; a series shorter than a block has no rows.
     """
     keys = [*by, "at"]
     whole = circular_block_sums(series, value, length, by).withColumnRenamed("block_sum", "whole")
     n = whole.groupBy(*by).agg(F.max("n").alias("n"))
-    draws = n.select(
+    draws = n.where(F.col("n") >= length).select(
         *by, "n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample")
     ).select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), (F.col("n") / length).cast("bigint") - 1)).alias("block"))
     starts = draws.select(*by, "n", "resample", md5_index(F.col("n"), F.lit(seed), F.col("resample"), F.col("block")).alias("at"))

@@ -152,6 +152,12 @@ def test_market_state(spark):
     assert out[0]["market_return"] == pytest.approx((math.log(1.02) + math.log(0.98)) / 2)
 
 
+def test_series_shorter_than_a_block_has_no_bootstrap(spark):
+    rows = [("short", i, 1.0) for i in range(4)] + [("long", i, 1.0) for i in range(7)]
+    got = Z.md5_block_bootstrap(spark.createDataFrame(rows, "model string, timestamp int, v double"), "v", 6, 3, 7, ["model"]).collect()
+    assert sorted((r["model"], r["resample"], r["mean_value"]) for r in got) == [("long", i, 1.0) for i in range(3)]
+
+
 def test_bootstrap():
     assert np.allclose(Z.bootstrap_means(np.full((24, 1), 3.5), 50, 6, 1), 3.5)
     x = np.arange(30.0)
