@@ -3,15 +3,20 @@
 Texts are cut into words by the vocabulary's pattern; a word's encoding depends on nothing else,
 so each task encodes the distinct words of a stretch of text and looks the rest up.  The encoding
 itself is a recursive query of an embedded DuckDB: rows of (word, position, token) meet the merge
-table, each word contracts its leftmost pair of least rank, and words without a mergeable pair
-leave the recursion; an ordered aggregation gives each word's ids.
+table, each word contracts its pair of least rank from the left until no such pair is left, and words
+without a mergeable pair leave the recursion; an ordered aggregation gives each word's ids.
+
+Pairs that a contraction makes always rank after it (checked when a vocabulary is read), so all
+places of a word's least pair contract in one step, from the left, and a run of thousands of equal
+characters takes a dozen steps.  A word is first cut where no token of the vocabulary has the two
+bytes side by side: no merge reaches over such a place.  The recursion runs in instalments, so that
+what it holds stays bounded however long a word is.
 
 Nothing is shuffled: this is one pass over the texts, whatever their number.
 """
 
 from __future__ import annotations
 
-import heapq
 import json
 import re
 from collections.abc import Iterable, Iterator
@@ -27,8 +32,10 @@ from pyspark.sql import types as T
 STRETCH = 3_000_000
 #: Words kept for later stretches before the store starts afresh (it only saves work).
 KEPT_WORDS = 400_000
-#: Bytes of a word from which the recursion, quadratic in a word's length, gives way to a heap.
-LONG_WORD = 192
+#: Rows of (step, word, position) that one recursive query may produce before the next takes over.
+HELD_ROWS = 2_000_000
+#: Bytes of the words of one recursive query (a single longer word is one by itself).
+QUERY_BYTES = 160_000
 
 # Fixed value: the pattern that cuts texts into words for this vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -41,20 +48,24 @@ CONTRACT = """
 WITH RECURSIVE bpe(step, word, pos, tok) AS (
   SELECT 0, word, pos, tok FROM seed
   UNION ALL
-  SELECT step + 1, word, pos, CASE WHEN rank_at = least THEN merged ELSE tok END
+  SELECT step + 1, word, pos, CASE WHEN hit THEN merged ELSE tok END
   FROM (
-    SELECT *, lag(rank_at) OVER (PARTITION BY word ORDER BY pos) AS rank_before
+    SELECT *, n - coalesce(max(CASE WHEN NOT hit THEN n END)
+                           OVER (PARTITION BY word ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place
     FROM (
-      SELECT p.step, p.word, p.pos, p.tok, m.merged, m.rank * 65536 + p.pos AS rank_at,
-             min(m.rank * 65536 + p.pos) OVER (PARTITION BY p.word) AS least
-      FROM (SELECT *, lead(tok) OVER (PARTITION BY word ORDER BY pos) AS next FROM bpe) p
-      LEFT JOIN merges m ON m.a = p.tok AND m.b = p.next)
-    WHERE least IS NOT NULL)
-  WHERE rank_before IS DISTINCT FROM least)
-SELECT word, list(tok ORDER BY pos) AS ids
+      SELECT *, coalesce(rank = least, false) AS hit
+      FROM (
+        SELECT p.step, p.word, p.pos, p.n, p.tok, m.merged, m.rank, min(m.rank) OVER (PARTITION BY p.word) AS least
+        FROM (SELECT *, lead(tok) OVER w AS next, row_number() OVER w AS n FROM bpe WHERE step < {steps}
+              WINDOW w AS (PARTITION BY word ORDER BY pos)) p
+        LEFT JOIN merges m ON m.a = p.tok AND m.b = p.next)
+      WHERE least IS NOT NULL))
+  WHERE place % 2 = 1)  -- in a run of overlapping pairs the first, third, ... contract; the tokens between are taken up
+SELECT step = {steps} AS unfinished, word, pos, tok
 FROM (SELECT * FROM bpe QUALIFY step = max(step) OVER (PARTITION BY word))
-GROUP BY word
 """
+#: Ordered aggregation of the finished words.
+DECODE = "SELECT word, list(tok ORDER BY pos) AS ids FROM finished GROUP BY word"
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -66,17 +77,30 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class Vocabulary:
-    """Byte ids and merges (a, b) -> (rank, merged id) of a vocabulary file."""
+    """Byte ids, merges (a, b) -> (rank, merged id) and neighbouring bytes of a vocabulary file.
+
+    A vocabulary in which a merge may make a pair of lower rank than its own is refused.
+    """
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
-        ids = model["vocab"]
+        ids, alphabet = model["vocab"], byte_alphabet()
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         self.byte_ids = np.zeros(256, "int32")
-        for ch, b in byte_alphabet().items():
+        for ch, b in alphabet.items():
             self.byte_ids[b] = ids[ch]
         self.merges = [(ids[a], ids[b], rank, ids[a + b]) for rank, (a, b) in enumerate(pairs)]
+        made: dict[int, int] = {}
+        for _, _, rank, merged in self.merges:
+            made[merged] = rank
+        if any(made.get(x, -1) >= rank for a, b, rank, _ in self.merges for x in (a, b)):
+            raise ValueError(f"{path}: merges are not in the order in which they build on each other")
+        #: [x, y]: some merge has byte x before byte y inside its token.
+        self.side_by_side = np.zeros((256, 256), bool)
+        for a, b in pairs:
+            raw = [alphabet[c] for c in a + b]
+            self.side_by_side[raw[:-1], raw[1:]] = True
 
 
 class Encoder:
@@ -87,12 +111,12 @@ class Encoder:
         import regex
 
         self.vocabulary = Vocabulary(path)
-        self._db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        # Bounded by HELD_ROWS; nothing is written to the worker's disk.
+        self._db = duckdb.connect(config={"threads": 1, "memory_limit": "800MB", "temp_directory": ""})
         a, b, rank, merged = (pa.array(c, pa.int64()) for c in zip(*self.vocabulary.merges))
         self._db.register("merge_rows", pa.table({"a": a, "b": b, "rank": rank, "merged": merged}))
         self._db.execute("CREATE TABLE merges AS SELECT * FROM merge_rows")
         self._db.unregister("merge_rows")
-        self._by_pair: dict[tuple[int, int], tuple[int, int]] | None = None
         self._cut, self._cut_ascii = regex.compile(PATTERN).findall, re.compile(ASCII_PATTERN).findall
         #: word -> its ids as little-endian int32 bytes
         self._known: dict[str, bytes] = {}
@@ -100,53 +124,48 @@ class Encoder:
     def words(self, text: str) -> list[str]:
         return self._cut_ascii(text) if text.isascii() else self._cut(text)
 
-    def _by_heap(self, raw: bytes) -> list[int]:
-        """The same contraction with a heap of pairs and linked neighbours, for very long words."""
-        if self._by_pair is None:
-            self._by_pair = {(a, b): (rank, merged) for a, b, rank, merged in self.vocabulary.merges}
-        pairs, tok = self._by_pair, [int(self.vocabulary.byte_ids[x]) for x in raw]
-        after, before = [*range(1, len(tok)), -1], [*range(-1, len(tok) - 1)]
-        heap = [(m[0], i, tok[i], tok[i + 1]) for i in range(len(tok) - 1) if (m := pairs.get((tok[i], tok[i + 1])))]
-        heapq.heapify(heap)
-        while heap:
-            _, i, a, b = heapq.heappop(heap)
-            j = after[i]
-            if tok[i] != a or j < 0 or tok[j] != b:
-                continue  # one of the two has been merged since
-            tok[i], tok[j], after[i] = pairs[a, b][1], -1, after[j]
-            if after[j] >= 0:
-                before[after[j]] = i
-            for left, right in ((before[i], i), (i, after[i])):
-                if left >= 0 and right >= 0 and (m := pairs.get((tok[left], tok[right]))):
-                    heapq.heappush(heap, (m[0], left, tok[left], tok[right]))
-        return [t for t in tok if t >= 0]
-
-    def _contract(self, words: list[str], raw: list[bytes]) -> None:
+    def _contract(self, raw: list[bytes]) -> Iterator[tuple[int, bytes]]:
+        """Index and ids of each word."""
         length = np.fromiter(map(len, raw), "int64", len(raw))
-        word = np.repeat(np.arange(len(raw)), length)
-        pos = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
-        tok = self.vocabulary.byte_ids[np.frombuffer(b"".join(raw), "uint8")]
-        self._db.register("seed", pa.table({"word": word, "pos": pos, "tok": tok.astype("int64")}))
-        done = self._db.sql(CONTRACT).to_arrow_table().combine_chunks()
-        self._db.unregister("seed")
-        if not done.num_rows:
-            return
-        ids = done["ids"].combine_chunks() if isinstance(done["ids"], pa.ChunkedArray) else done["ids"]
-        ends, flat = ids.offsets.to_numpy(), ids.values.to_numpy().astype("<i4")
-        for w, a, b in zip(done["word"].to_pylist(), ends[:-1].tolist(), ends[1:].tolist()):
-            self._known[words[w]] = flat[a:b].tobytes()
+        owner = np.repeat(np.arange(len(raw)), length)
+        octets = np.frombuffer(b"".join(raw), "uint8")
+        apart = np.ones(len(octets), bool)  # a piece begins here
+        apart[1:] = (owner[1:] != owner[:-1]) | ~self.vocabulary.side_by_side[octets[:-1], octets[1:]]
+        piece = np.cumsum(apart) - 1
+        seed = pa.table({"word": piece, "pos": np.arange(len(octets)), "tok": self.vocabulary.byte_ids[octets].astype("int64")})
+        done: list[pa.Table] = []
+        while seed.num_rows:
+            steps = int(np.clip(HELD_ROWS // seed.num_rows, 1, 1024))
+            self._db.register("seed", seed)
+            rows = self._db.sql(CONTRACT.format(steps=steps)).to_arrow_table()
+            self._db.unregister("seed")
+            unfinished = rows["unfinished"]
+            done.append(rows.filter(pc.invert(unfinished)).select(["word", "pos", "tok"]))
+            seed = rows.filter(unfinished).select(["word", "pos", "tok"])
+        finished = pa.concat_tables(done)
+        of_piece = owner[apart]
+        finished = finished.set_column(0, "word", pa.array(of_piece[finished["word"].to_numpy()]))
+        self._db.register("finished", finished)
+        decoded = self._db.sql(DECODE).to_arrow_table().combine_chunks()
+        self._db.unregister("finished")
+        if decoded.num_rows:
+            ids = decoded["ids"].combine_chunks() if isinstance(decoded["ids"], pa.ChunkedArray) else decoded["ids"]
+            ends, flat = ids.offsets.to_numpy(), ids.values.to_numpy().astype("<i4")
+            for w, a, b in zip(decoded["word"].to_pylist(), ends[:-1].tolist(), ends[1:].tolist()):
+                yield w, flat[a:b].tobytes()
 
     def learn(self, words: Iterable[str]) -> None:
-        """Encode the words not met yet."""
-        words = list(words)
-        raw = [w.encode("utf-8", "surrogatepass") for w in words]
-        short = [i for i, r in enumerate(raw) if len(r) <= LONG_WORD]
-        for at in range(0, len(short), 20_000):
-            part = short[at : at + 20_000]
-            self._contract([words[i] for i in part], [raw[i] for i in part])
-        for i, r in enumerate(raw):
-            if len(r) > LONG_WORD:
-                self._known[words[i]] = np.array(self._by_heap(r), "<i4").tobytes()
+        """Encode the words not met yet; words of like length share a query."""
+        raw = sorted(((w.encode("utf-8", "surrogatepass"), w) for w in words), key=lambda x: len(x[0]))
+        size = np.cumsum([len(r) for r, _ in raw])
+        at = 0
+        while at < len(raw):
+            base = size[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(size, base + QUERY_BYTES, "right")))
+            part = raw[at:to]
+            for i, ids in self._contract([r for r, _ in part]):
+                self._known[part[i][1]] = ids
+            at = to
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text; none for an empty and a null one."""
