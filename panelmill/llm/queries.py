@@ -11,7 +11,7 @@ from panelmill.functions.scalar import is_finite
 from panelmill.llm.bpe import encode_texts
 from panelmill.llm.packing import pack_documents
 from panelmill.llm.subjects import assign_subjects
-from panelmill.llm.topn import latest_rows, top_n_per_group
+from panelmill.llm.topn import top_n_latest
 from panelmill.sources.tables import table
 
 #: Vocabulary file of byte_bpe_50k; the same path on every worker.
@@ -23,9 +23,10 @@ GROUP = ["model", "variant", "timestamp"]
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    columns = [*GROUP, "symbol", "member", "prediction", "loaded_at", "pred_id"]
-    items = latest_rows(table(spark, d, "predictions").select(*columns), [*GROUP, "symbol", "member"], ["loaded_at", "pred_id"], ["prediction", "pred_id"])
-    best = top_n_per_group(items, 3, GROUP, [("prediction", True), ("symbol", False), ("member", False)], is_finite(F.col("prediction")))
+    order = [("prediction", True), ("symbol", False), ("member", False)]
+    best = top_n_latest(
+        table(spark, d, "predictions"), 3, GROUP, ["symbol", "member"], ["loaded_at", "pred_id"], order, ["prediction", "pred_id"], is_finite(F.col("prediction"))
+    )
     return best.select("pred_id")
 
 
