@@ -8,14 +8,18 @@ Within a shard, the reduction of Martello and Toth goes through the documents fr
 down and fixes a set for good wherever it provably dominates every other set with that document:
 
 * nothing else fits beside it: the document alone;
-* another fills the container exactly, or at most one more fits: with the largest that fits;
-* at most two more fit: with the largest that fits alone if it weighs as much as the best pair, or
-  with the largest that fits and the largest beside that, if no pair of others has both larger
-  than the second.
-
-What is fixed leaves the instance; passes repeat until none fixes anything.  Best fit decreasing
-packs the remainder.  Sizes are looked up in bit sets (one bit per size or residual), so a lookup
-costs a few machine words per thousand tokens of capacity.
+* another fills the container exactly, or weighs as much as the best pair where at most two fit: with
+  that one;
+* at most k more fit (k up to MOST_PARTNERS), and the largest that fits, the largest that fits beside
+  that, and so on are k documents of which the i-th is at least as large as the i-th largest of any
+  other set: with these.
+
+What is fixed leaves the instance; passes repeat until none fixes anything.  Then the instance is
+relaxed: its smallest documents are set aside, a share at a time, and the reduction goes on with the
+rest.  What it fixes then is the best for the relaxed instance, so the number of containers so far
+never exceeds what the whole instance needs at least.  Best fit decreasing packs what was set aside
+into the room that is left and into new containers.  Sizes are looked up in bit sets (one bit per size
+or residual), so a lookup costs a few machine words per thousand tokens of capacity.
 """
 
 from __future__ import annotations
@@ -28,6 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Partners beside a document up to which dominance is tried.
+MOST_PARTNERS = 4
+#: Share of the remaining documents that is set aside at once when no set is proven.
+RELAXED_SHARE = 0.25
 
 class SizeSet:
     """Items by size, with the largest size up to a bound and the smallest sizes."""
@@ -90,24 +98,34 @@ def dominating_partner_sizes(free: SizeSet, rest: int) -> list[int] | None:
 
     The document itself is not in ``free``.
     """
-    low = free.smallest(3)
+    low = free.smallest(MOST_PARTNERS + 1)
     if not low or low[0] > rest:
         return []
     one = free.largest(rest)
-    if one == rest or len(low) == 1 or low[0] + low[1] > rest:
+    if one == rest:
         return [one]
-    if len(low) == 3 and sum(low) <= rest:
-        return None  # three or more may fit: no short proof
-    if one >= free.best_pair(rest):
+    fit = int((np.cumsum(low) <= rest).sum())  # so many fit at most
+    if fit > MOST_PARTNERS:
+        return None
+    if fit == 1 or fit == 2 and one >= free.best_pair(rest):
         return [one]
-    held = free.take(one)
-    two = free.largest(rest - one)
-    pair = free.smallest(2, above=two)
-    free.put(one, held)
-    # Every other pair has its smaller item at most `two` and its larger at most `one`.
-    if two >= 0 and (len(pair) < 2 or sum(pair) > rest):
-        return [one, two]
-    return None
+    chosen: list[int] = []
+    taken: list[int] = []
+    room, proven = rest, True
+    while proven and len(chosen) < fit:
+        size = free.largest(room)
+        if size < 0:
+            proven = False  # a set of more documents exists
+            break
+        # Were the i-th largest of another set larger than this one, i documents over it would fit.
+        over = sorted([*free.smallest(len(chosen) + 1, above=size), *(c for c in chosen if c > size)])[: len(chosen) + 1]
+        proven = len(over) <= len(chosen) or sum(over) > rest
+        chosen.append(size)
+        taken.append(free.take(size))
+        room -= size
+    for size, item in zip(chosen, taken):
+        free.put(size, item)
+    return chosen if proven else None
 
 
 def reduce_instance(free: SizeSet, capacity: int) -> list[list[int]]:
@@ -132,27 +150,41 @@ def reduce_instance(free: SizeSet, capacity: int) -> list[list[int]]:
             return fixed
 
 
-def best_fit(free: SizeSet, capacity: int) -> list[list[int]]:
-    """Best fit decreasing of what is in ``free``."""
-    containers: list[list[int]] = []
+def reduce_relaxed(free: SizeSet, capacity: int) -> tuple[list[list[int]], list[tuple[int, int]]]:
+    """Containers fixed by dominance while the smallest items are set aside until none is left, and the (size, item) set aside.
+
+    No packing of all items has fewer containers than were fixed.
+    """
+    fixed: list[list[int]] = []
+    aside: list[tuple[int, int]] = []
+    while free:
+        for _ in range(max(1, int(sum(map(len, free.items.values())) * RELAXED_SHARE))):
+            size = (free.mask & -free.mask).bit_length() - 1
+            aside.append((size, free.take(size)))
+        fixed += reduce_instance(free, capacity)
+    return fixed, aside
+
+
+def best_fit(containers: list[list[int]], room: list[int], items: list[tuple[int, int]], capacity: int) -> None:
+    """Best fit decreasing of (size, item) into the ``room`` left in ``containers`` and into new ones, in place."""
     by_room: dict[int, list[int]] = defaultdict(list)
     rooms = 0
-    while free:
-        size = free.mask.bit_length() - 1
-        item = free.take(size)
+    for at, r in enumerate(room):
+        by_room[r].append(at)
+        rooms |= 1 << r
+    for size, item in sorted(items, reverse=True):
         fitting = rooms >> size
         if fitting:
-            room = size + (fitting & -fitting).bit_length() - 1
-            at = by_room[room].pop()
-            if not by_room[room]:
-                rooms ^= 1 << room
+            left = size + (fitting & -fitting).bit_length() - 1
+            at = by_room[left].pop()
+            if not by_room[left]:
+                rooms ^= 1 << left
             containers[at].append(item)
         else:
-            room, at = capacity, len(containers)
+            left, at = capacity, len(containers)
             containers.append([item])
-        by_room[room - size].append(at)
-        rooms |= 1 << (room - size)
-    return containers
+        by_room[left - size].append(at)
+        rooms |= 1 << (left - size)
 
 
 def pack(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -165,7 +197,9 @@ def pack(sizes: list[int], capacity: int) -> list[list[int]]:
     if empty:
         free.mask ^= 1
     containers = reduce_instance(free, capacity)
-    containers += best_fit(free, capacity)
+    fixed, aside = reduce_relaxed(free, capacity)
+    containers += fixed
+    best_fit(containers, [capacity - sum(sizes[i] for i in c) for c in containers], aside, capacity)
     if empty:
         containers = containers or [[]]
         containers[0].extend(empty)
@@ -210,10 +244,9 @@ def pack_documents(sized: DataFrame, capacity: int, shards: int, doc_id: str = "
             }
         )
 
-    # The row's place in its split goes into the shard, so repeated ids spread too.
-    sharded = sized.select(
-        F.col(doc_id).alias("doc_id"),
-        F.greatest(F.coalesce(F.col(size).cast("bigint"), F.lit(0)), F.lit(0)).alias("size"),
-        F.monotonically_increasing_id().alias("row"),
-    ).select(F.pmod(F.xxhash64("doc_id", "row"), F.lit(shards)).alias("shard"), "doc_id", "size")
+    # Rows with the same id and size are the same to the packing: numbered, they spread over the shards, and
+    # which shard a document goes to hangs on nothing but the data.
+    rows = sized.select(F.col(doc_id).alias("doc_id"), F.greatest(F.coalesce(F.col(size).cast("bigint"), F.lit(0)), F.lit(0)).alias("size"))
+    numbered = rows.groupBy("doc_id", "size").agg(F.count("*").alias("n")).select("doc_id", "size", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))).alias("copy"))
+    sharded = numbered.select(F.pmod(F.xxhash64("doc_id", "size", "copy"), F.lit(shards)).alias("shard"), "doc_id", "size")
     return sharded.groupBy("shard").applyInPandas(run, schema).withColumnRenamed("doc_id", doc_id)

@@ -40,13 +40,29 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return pack_documents(encode_texts(documents, VOCABULARY, counts_only=True), CAPACITY, shards)
 
 
+def p7_audit(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of any packing: every document once, whole unless it exceeds a container, no container over its capacity."""
+    packed = p7_containers(spark, d)
+    size, parts = F.sum("n_tokens"), F.count("*")
+    by_container = packed.groupBy("container").agg(size.alias("size")).agg(F.count_if(F.col("size") > CAPACITY).alias("containers_over_capacity"))
+    rows = packed.groupBy("doc_id").agg(
+        F.count_if(F.col("part") == 0).alias("copies"), parts.alias("parts"), size.alias("size"), F.count_if(F.col("first_token") != F.col("part") * CAPACITY).alias("misplaced")
+    )
+    needed = F.greatest(F.ceil(F.col("size") / F.col("copies") / CAPACITY), F.lit(1)) * F.col("copies")
+    by_document = rows.agg(F.sum("copies").alias("documents"), F.count_if((F.col("parts") != needed) | (F.col("misplaced") > 0)).alias("documents_cut_wrongly"))
+    missing = table(spark, d, "documents").select("doc_id").join(packed, "doc_id", "left_anti").agg(F.count("*").alias("documents_missing"))
+    return by_document.crossJoin(by_container).crossJoin(missing)  # one-row frames
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return assign_subjects(table(spark, d, "documents"), table(spark, d, "subject_labels"), table(spark, d, "subjects"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p6_ids, p7_containers, p8_found)}
+QUERIES = {f.__name__: f for f in (p3_found, p6_ids, p7_containers, p7_audit, p8_found)}
 
 ORACLE = {
+    "p7_audit": """
+      SELECT count(*) AS documents, 0 AS documents_cut_wrongly, 0 AS containers_over_capacity, 0 AS documents_missing FROM documents""",
     "p3_found": """
       WITH latest AS (
         SELECT * FROM predictions

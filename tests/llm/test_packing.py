@@ -4,7 +4,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from panelmill.llm.packing import SizeSet, pack, pack_documents, reduce_instance
+from panelmill.llm.packing import SizeSet, pack, pack_documents, reduce_instance, reduce_relaxed
 
 
 def fewest(sizes, capacity):
@@ -35,6 +35,23 @@ def test_reduction_loses_nothing(case):
     assert len(fixed) + fewest(rest, capacity) == fewest(sizes, capacity)
 
 
+@given(st.integers(5, 40).flatmap(lambda c: st.tuples(st.just(c), st.lists(st.integers(1, c), max_size=8))))
+@settings(max_examples=200, deadline=None)
+def test_relaxed_reduction_is_a_lower_bound(case):
+    capacity, sizes = case
+    free = SizeSet(sizes)
+    fixed = reduce_instance(free, capacity)
+    more, aside = reduce_relaxed(free, capacity)
+    assert not free and sorted([i for c in fixed + more for i in c] + [i for _, i in aside]) == list(range(len(sizes)))
+    assert len(fixed) + len(more) <= fewest(sizes, capacity) <= len(pack(sizes, capacity))
+    assert sorted(i for c in pack(sizes, capacity) for i in c) == list(range(len(sizes)))
+
+
+def test_three_and_more_partners_are_proven():
+    assert sorted(map(sorted, reduce_instance(SizeSet([40, 20, 20, 20]), 100))) == [[0, 1, 2, 3]]
+    assert sorted(map(sorted, reduce_instance(SizeSet([30, 17, 17, 17, 17]), 100))) == [[0, 1, 2, 3, 4]]
+
+
 def test_packing_is_tight_and_whole():
     rng = np.random.default_rng(0)
     sizes = np.minimum(rng.lognormal(7, 0.8, 5000).astype(int), 8192).tolist()
@@ -57,4 +74,6 @@ def test_documents(spark):
     whole = out[out.doc_id == [i for i, n in rows if n == 250][0]].sort_values("part")
     assert whole.n_tokens.tolist() == [100, 100, 50] and whole.first_token.tolist() == [0, 100, 200]
     assert {r["container"] >> 32 for r in out.to_dict("records")} == {0, 1, 2, 3}
+    rows_of = lambda d: sorted(map(str, d.collect()))
+    assert rows_of(pack_documents(df.repartition(11, "n_tokens"), 100, 4)) == rows_of(pack_documents(df.coalesce(1), 100, 4))
     assert pack_documents(df.limit(0), 100, 4).count() == 0
