@@ -7,7 +7,8 @@ Per source and field, relative to what that source normally shows:
   and drifts leave small residuals while a brief departure leaves its whole height;
 * **season** -- residuals are scaled by how much the source moves around that moment (the upper
   quartile of its moves within LOCAL values on either side, so a restless spell is no fault), and then
-  by the source's own dispersion in that part of the UTC day;
+  by the source's own dispersion: over all times, times a factor for the part of the UTC day, times one
+  for the weekday, each factor drawn to 1 where it rests on few values;
 * **tail** -- a generalised Pareto tail is fitted to the scaled residuals above their 95 % point
   (from order statistics of the exceedances, which the faults themselves hardly move), and the
   cutoff is the level that tail exceeds with a fixed risk per value;
@@ -32,12 +33,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelmill.functions.scalar import epoch_micros, floor_div
+from panelmill.functions.scalar import epoch_micros, floor_div, is_finite
 
 HOUR = 3_600_000_000
-BLOCKS = 4
+#: The season: parts of a day and days of a week (from Monday); a block is one part of one weekday.
+PARTS, WEEKDAYS = 4, 7
+#: Values at the dispersion of all times that are added to those of a part of the day and of a weekday.
+PART_PRIOR, WEEKDAY_PRIOR = 150.0, 1500.0
+#: Bounds of the tail's shape, close to an exponential tail.  The faults are in the tail that is fitted: with a shape
+#: free between -0.5 and 0.5 they lengthen it, and of 44,190 verdicts on two million bars 4,032 spikes were lost and 278 new.
+LEAST_SHAPE, MOST_SHAPE = -0.1, 0.05
 #: Histogram of |residual|: bins of a sixteenth of an octave from LOWEST on.
 PER_OCTAVE, LOWEST, BINS = 16, 1e-7, 512
+#: Run lengths are counted up to this in the sketch of a source, which sets its cutoff; runs themselves are measured whole.
 LONGEST = 64
 #: Values on either side that show how restless a source is just then.
 LOCAL = 30
@@ -113,10 +121,17 @@ def weighted_quantile(x: np.ndarray, w: np.ndarray, q: float) -> float:
     return float(x[min(np.searchsorted(c, q * c[-1] - 1e-9), len(x) - 1)])
 
 
-def tail_cutoff(blocks: np.ndarray, bins: np.ndarray, counts: np.ndarray, risk: float, prior: float = 150.0) -> np.ndarray:
-    """Cutoff of |residual| per block of the day, from histograms of one source and field.
+def block_of(at: np.ndarray) -> np.ndarray:
+    """The part of the week of times in microseconds since 1970-01-01, a Thursday."""
+    return (at // (24 * HOUR) + 3) % WEEKDAYS * PARTS + at // (24 * HOUR // PARTS) % PARTS
 
-    ``prior`` values at the all-day dispersion are added to each block's own.
+
+def tail_cutoff(blocks: np.ndarray, bins: np.ndarray, counts: np.ndarray, risk: float) -> np.ndarray:
+    """Cutoff of |residual| per part of the week, from histograms of one source and field.
+
+    A part of the day and a weekday each have a factor on the dispersion of all times, drawn to 1 by
+    PART_PRIOR and WEEKDAY_PRIOR.  The tail's shape comes from the quantiles of the exceedances, is drawn
+    to 0 by 100 of them and held between LEAST_SHAPE and MOST_SHAPE.
     """
     r = bin_value(bins)
     order = np.argsort(r, kind="stable")
@@ -130,13 +145,17 @@ def tail_cutoff(blocks: np.ndarray, bins: np.ndarray, counts: np.ndarray, risk:
 
     whole = dispersion(r, counts)
     if whole == 0.0:
-        return np.full(BLOCKS, np.inf)
-    scale = np.full(BLOCKS, whole)
-    for k in range(BLOCKS):
-        own = blocks == k
-        if own.any():
+        return np.full(PARTS * WEEKDAYS, np.inf)
+
+    def factors(of: np.ndarray, k: int, prior: float) -> np.ndarray:
+        out = np.ones(k)
+        for i in np.unique(of):
+            own = of == i
             n = counts[own].sum()
-            scale[k] = (n * max(dispersion(r[own], counts[own]), 0.25 * whole) + prior * whole) / (n + prior)
+            out[i] = (n * max(dispersion(r[own], counts[own]) / whole, 0.25) + prior) / (n + prior)
+        return out
+
+    scale = whole * np.outer(factors(blocks // PARTS, WEEKDAYS, WEEKDAY_PRIOR), factors(blocks % PARTS, PARTS, PART_PRIOR)).ravel()
     z = r / scale[blocks]
     order = np.argsort(z, kind="stable")
     z, w = z[order], counts[order]
@@ -151,7 +170,7 @@ def tail_cutoff(blocks: np.ndarray, bins: np.ndarray, counts: np.ndarray, risk:
         n = w[over].sum()
         y50, y75 = (weighted_quantile(z[over] - u, w[over], q) for q in (0.5, 0.75))
         shape = math.log2((y75 - y50) / y50) if y75 > y50 > 0 else 0.0
-        shape = np.clip(shape * n / (n + 100.0), -0.1, 0.05)
+        shape = np.clip(shape * n / (n + 100.0), LEAST_SHAPE, MOST_SHAPE)
         size = y50 / math.log(2.0) if abs(shape) < 1e-6 else y50 * shape / (2.0**shape - 1.0)
         size = (size * n + 20.0) / (n + 20.0)  # few exceedances lean on the unit scale
         ratio = n / total / risk
@@ -184,7 +203,7 @@ def scan_chunk(pdf: pd.DataFrame, fields: int, price_fields: int) -> pd.DataFram
     """Candidates and sketches of one (source, chunk), margin included; fields are f0, f1, ..., prices first."""
     pdf = pdf.sort_values("at", kind="stable")
     at, core, trades = pdf["at"].to_numpy("int64"), pdf["core"].to_numpy(bool), pdf["trades"].to_numpy(bool)
-    block = (at // (HOUR * 24 // BLOCKS)) % BLOCKS
+    block = block_of(at)
     parts: list[tuple] = []
 
     def put(kind: int, field: int, t: np.ndarray, blk: np.ndarray, b: np.ndarray, x: np.ndarray) -> None:
@@ -197,7 +216,7 @@ def scan_chunk(pdf: pd.DataFrame, fields: int, price_fields: int) -> pd.DataFram
         hit = bad & core
         put(IMPOSSIBLE, f, at[hit], block[hit], np.zeros(hit.sum(), "int64"), np.zeros(hit.sum()))
         live = ~null & ~bad & trades
-        use = np.flatnonzero(live & (v > 0))
+        use = np.flatnonzero(live)
         x = np.log(v[use]) if f < price_fields else np.log1p(v[use])  # small counts are coarse in plain logs
         r = both_sides(x) / local_scale(x) if len(use) > 2 else np.zeros(len(use))
         own = core[use]
@@ -240,9 +259,10 @@ def flag_implausible(
     within a chunk and ``margin_hours`` around it.
 
     Defined cases: nulls are never flagged and are passed over by runs and medians; bars whose
-    ``activity`` is zero had no trades and can only be impossible, not spiked or stuck; all deliveries
-    of a (source, timestamp) share the verdicts of that bar, whose value is the non-null one with the
-    largest ``row_id``; rows with a null timestamp are judged for impossible values only; a null source
+    ``activity`` is zero had no trades and can only be impossible, not spiked or stuck; a zero in a
+    volume field of a traded bar is a value like any other; all deliveries of a (source, timestamp)
+    share the verdicts of that bar, whose value is the non-null one with the largest ``row_id``; rows
+    with a null timestamp are judged one by one and for impossible values only; a null source
     is a source of its own; a source with too few values to show a scale gets impossible verdicts
     only; an empty table gives an empty result; other columns are ignored, whatever their names.
     """
@@ -255,18 +275,17 @@ def flag_implausible(
         *[F.col(f).cast("double").alias(f"f{i}") for i, f in enumerate(fields)],
     )
     columns = ["act", *[f"f{i}" for i in range(len(fields))]]
-    once = slim.groupBy("src", "at").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("id"))).alias(c) for c in columns])
+    once = slim.where("at is not null").groupBy("src", "at").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("id"))).alias(c) for c in columns])
     width, margin = chunk_days * 24 * HOUR, margin_hours * HOUR
     chunk = F.sequence(floor_div(F.col("at") - margin, width), floor_div(F.col("at") + margin, width))
     spread = (
-        once.withColumn("chunk", F.explode(F.when(F.col("at").isNull(), F.array(F.lit(None).cast("bigint"))).otherwise(chunk)))
-        .withColumn("core", F.coalesce(floor_div(F.col("at"), width) == F.col("chunk"), F.lit(True)))
-        .withColumn("trades", F.coalesce(F.col("act") != 0, F.lit(True)) & F.col("at").isNotNull())
-        .withColumn("at", F.coalesce("at", F.lit(0)))
+        once.withColumn("chunk", F.explode(chunk))
+        .withColumn("core", floor_div(F.col("at"), width) == F.col("chunk"))
+        .withColumn("trades", F.coalesce(F.col("act") != 0, F.lit(True)))
         .select("src", "chunk", "at", "core", "trades", *columns[1:], *[F.col(c).isNull().alias(f"n{i}") for i, c in enumerate(columns[1:])])
     )
     out = T.StructType(
-        [T.StructField("src", bars.schema[source].dataType), T.StructField("timed", T.BooleanType())]
+        [T.StructField("src", bars.schema[source].dataType)]
         + [T.StructField(c, T.LongType()) for c in ("kind", "field", "at", "block", "bin")]
         + [T.StructField("x", T.DoubleType())]
     )
@@ -275,7 +294,6 @@ def flag_implausible(
     def scan(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         found = scan_chunk(pdf, n_fields, n_prices)
         found.insert(0, "src", key[0])
-        found.insert(1, "timed", key[1] is not None and not pd.isna(key[1]))
         return found
 
     # Candidates and sketches are a few percent of the bars; both branches below read them.
@@ -295,7 +313,7 @@ def flag_implausible(
             own = (field == f) & (kind == RUNS)
             if own.any():
                 cut = stuck_cutoff(bins[own], n[own], stuck_risk)
-                rows += [(f, STUCK, k, cut) for k in range(BLOCKS)]
+                rows += [(f, STUCK, k, cut) for k in range(PARTS * WEEKDAYS)]
         out = pd.DataFrame(rows, columns=["field", "kind", "block", "cut"])
         out.insert(0, "src", key[0])
         return out
@@ -311,22 +329,28 @@ def flag_implausible(
     beyond = (
         c.join(k, F.col("c.src").eqNullSafe(F.col("k.src")) & (F.col("c.field") == F.col("k.field")) & (F.col("c.kind") == F.col("k.kind")) & (F.col("c.block") == F.col("k.block")))
         .where(F.col("c.x") > F.col("k.cut"))
-        .select("c.src", "c.timed", "c.at", "c.field", "c.kind")
+        .select("c.src", "c.at", "c.field", "c.kind")
     )
     verdicts = (
         scanned.where(F.col("kind") == IMPOSSIBLE)
-        .select("src", "timed", "at", "field", "kind")
+        .select("src", "at", "field", "kind")
         .unionByName(beyond)
-        .groupBy("src", "timed", "at", "field")
+        .groupBy("src", "at", "field")
         .agg(F.max("kind").alias("kind"))
     )
-    ids = slim.select("id", "src", F.col("at").isNotNull().alias("timed"), F.coalesce("at", F.lit(0)).alias("at"), *[f"f{i}" for i in range(len(fields))])
+    values = [F.col(f"f{i}") for i in range(len(fields))]
+    ids = slim.select("id", "src", "at", *values)
     value = F.coalesce(*[F.when(F.col("v.field") == i, F.col(f"i.f{i}")) for i in range(len(fields))])
     names = F.element_at(F.array(*[F.lit(f) for f in fields]), (F.col("v.field") + 1).cast("int"))
     label = F.element_at(F.array(F.lit("spike"), F.lit(""), F.lit("stuck"), F.lit("impossible")), F.col("v.kind").cast("int"))
-    return (
-        ids.alias("i")
-        .join(verdicts.alias("v"), F.col("i.src").eqNullSafe(F.col("v.src")) & (F.col("i.timed") == F.col("v.timed")) & (F.col("i.at") == F.col("v.at")))
+    timed = (
+        ids.where("at is not null")
+        .alias("i")
+        .join(verdicts.alias("v"), F.col("i.src").eqNullSafe(F.col("v.src")) & (F.col("i.at") == F.col("v.at")))
         .where(value.isNotNull())
         .select(F.col("i.id").alias(row_id), names.alias("field"), label.alias("verdict"))
     )
+    bad = [v.isNotNull() & (~is_finite(v) | (v < 0) | ((v == 0) & F.lit(i < n_prices))) for i, v in enumerate(values)]
+    hits = F.array_compact(F.array(*[F.when(b, F.lit(f)) for b, f in zip(bad, fields)]))
+    untimed = ids.where("at is null").select(F.col("id").alias(row_id), F.explode(hits).alias("field"), F.lit("impossible").alias("verdict"))
+    return timed.unionByName(untimed)

@@ -3,7 +3,7 @@ from datetime import datetime, timedelta
 import numpy as np
 import pytest
 
-from panelmill.operators.spikes import BLOCKS, both_sides, flag_implausible, local_scale, run_lengths, stuck_cutoff, tail_cutoff, bin_of, weighted_quantile
+from panelmill.operators.spikes import PARTS, WEEKDAYS, block_of, both_sides, flag_implausible, local_scale, run_lengths, stuck_cutoff, tail_cutoff, bin_of, weighted_quantile
 
 T0 = datetime(2025, 3, 1)
 SCHEMA = "bar_id long, symbol string, timestamp timestamp_ntz, close double, quote_volume double, trade_count long, volume double, src string, at int, f0 string"
@@ -54,6 +54,30 @@ def test_pauses_nulls_and_repeated_deliveries(spark):
     assert got == {(600, "close"): "spike", (5000, "close"): "spike", (6000, "close"): "impossible", (7000, "close"): "impossible"}
 
 
+def test_rows_without_a_time_are_judged_one_by_one(spark):
+    rows = [[i, s, None, c, 1.0, 1, 1.0, "c", 1, "c"] for i, s, c in ((1, "A", -1.0), (2, "A", 5.0), (3, "B", 5.0), (4, "B", float("nan")), (5, None, 0.0), (6, "A", None))]
+    rows[1][4], rows[2][5] = float("inf"), -3
+    want = {(1, "close"), (2, "quote_volume"), (3, "trade_count"), (4, "close"), (5, "close")}
+    assert found(spark, rows) == {k: "impossible" for k in want}
+
+
+def test_traded_bars_that_drop_to_nothing(spark):
+    rows = walk(900, 11)
+    rows[300][4], rows[500][5] = 0.0, 0
+    assert found(spark, rows) == {(300, "quote_volume"): "spike", (500, "trade_count"): "spike"}
+
+
+def test_season_by_time_of_day_and_weekday():
+    hour = 3_600_000_000
+    monday = int((datetime(2025, 3, 3) - datetime(1970, 1, 1)).total_seconds() * 1e6)
+    assert block_of(np.array([monday, monday + 7 * hour, monday + 6 * 24 * hour + 23 * hour])).tolist() == [0, 1, PARTS * WEEKDAYS - 1]
+    rng = np.random.default_rng(6)
+    blocks = np.repeat(np.arange(PARTS * WEEKDAYS), 4000)
+    loud = np.where(blocks // PARTS >= 5, 3.0, 1.0) * np.where(blocks % PARTS == 2, 2.0, 1.0)
+    cut = tail_cutoff(blocks, bin_of(rng.normal(0, 1, len(blocks)) * loud), np.ones(len(blocks)), 5e-6).reshape(WEEKDAYS, PARTS)
+    assert 1.6 < cut[0, 2] / cut[0, 1] < 2.4 and 2.2 < cut[6, 1] / cut[0, 1] < 3.4
+
+
 def test_chunks_hardly_show(spark):
     rows = walk(2500, 3)
     for i in range(50, 2450, 97):
@@ -97,7 +121,7 @@ def test_cutoffs_follow_the_source():
         r = rng.normal(0, scale, 20_000)
         b, n = np.unique(bin_of(r), return_counts=True)
         cut = tail_cutoff(np.zeros(len(b), int), b, n, 3e-6)
-        assert len(cut) == BLOCKS and 3.5 * scale < cut[0] < 9 * scale
+        assert len(cut) == PARTS * WEEKDAYS and 3.5 * scale < cut[0] < 9 * scale
     assert np.isinf(tail_cutoff(np.zeros(1, int), np.array([-1]), np.array([100]), 1e-6)).all()
     assert stuck_cutoff(np.array([1]), np.array([1000]), 1e-3) < 5
     runs = np.arange(1, 12)
