@@ -19,9 +19,11 @@ from panelmill.functions.scalar import micros_to_ntz, settle
 BOM = "﻿"
 #: Stands for a comma inside quotes while the line is split at the others.
 HELD_COMMA = "\x01"
-NUMBER = r"^([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
-ZERO = r"^(0+\.?0*|\.0+)([eE][+-]?[0-9]+)?$"
-EPOCH = r"^([0-9]{13}|[0-9]{16})$"
+#: The very end, ``z``, is meant; a dollar sign would also stand before a last line break.
+NUMBER = r"^([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"
+ZERO = r"^(0+\.?0*|\.0+)([eE][+-]?[0-9]+)?\z"
+EPOCH = r"^([0-9]{13}|[0-9]{16})\z"
+DIGITS = r"^[0-9]+\z"
 
 #: The fields of a kline line, in order.
 KLINE_FIELDS = [
@@ -45,7 +47,7 @@ def kline_rules() -> list[Rule]:
     rules = [
         Rule("open_time", ~t.rlike(EPOCH)),
         Rule("close_time", ~end.rlike(EPOCH) | (F.length(end) != F.length(t)) | (end < t)),
-        Rule("trade_count", ~F.col("trade_count").rlike("^[0-9]+$")),
+        Rule("trade_count", ~F.col("trade_count").rlike(DIGITS)),
         Rule("ignore", ~F.col("ignore").rlike(ZERO)),
     ]
     return rules + [Rule(f, ~(F.col(f).rlike(NUMBER) & (F.col(f).try_cast("double") < F.lit(float("inf"))))) for f in KLINE_NUMBERS]
@@ -53,8 +55,10 @@ def kline_rules() -> list[Rule]:
 
 def split_quoted(df: DataFrame, line: str, keep: list[str]) -> DataFrame:
     """``keep`` with ``fields`` (array of text) and ``misquoted`` (boolean) of a comma-separated line."""
+    given = F.coalesce(F.col(line), F.lit(""))
+    bare = F.when(given.endswith("\r"), F.left(given, F.length(given) - 1)).otherwise(given)  # one carriage return belongs to the line end
     pieces = settle(
-        settle(df, keep, text=F.coalesce(F.regexp_replace(F.col(line), "\r$", ""), F.lit(""))),
+        settle(df, keep, text=bare),
         [*keep, "text"],
         pieces=F.when(F.contains(F.col("text"), F.lit('"')), F.split("text", '"', -1)),
     )
@@ -123,7 +127,10 @@ def invalid_rows(parsed: DataFrame) -> DataFrame:
 
 
 def valid_bars(parsed: DataFrame) -> DataFrame:
-    """The lines without errors, typed; 13-digit times are milliseconds, 16-digit ones microseconds."""
+    """The lines without errors, typed; 13-digit times are milliseconds, 16-digit ones microseconds.
+
+    A trade count beyond 64 bits is null and stands, as text, in ``trade_count_overflow``, null otherwise.
+    """
 
     def micros(c: str) -> Column:
         return F.when(F.length(c) == 13, F.col(c).try_cast("bigint") * 1000).otherwise(F.col(c).try_cast("bigint"))
@@ -135,5 +142,6 @@ def valid_bars(parsed: DataFrame) -> DataFrame:
         micros_to_ntz(micros("close_time")).alias("available_time"),
         *[F.col(f).try_cast("double").alias(f) for f in ["open", "high", "low", "close", "volume", "quote_volume"]],
         F.col("trade_count").try_cast("bigint").alias("trade_count"),
+        F.when(F.col("trade_count").try_cast("bigint").isNull(), F.col("trade_count")).alias("trade_count_overflow"),
         *[F.col(f).try_cast("double").alias(f) for f in ["taker_buy_volume", "taker_buy_quote_volume"]],
     )

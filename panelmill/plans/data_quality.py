@@ -98,8 +98,7 @@ _KLINES = f"""
   judged AS (
     SELECT line_id, f, CASE WHEN NOT quoted_well THEN 'quoting' WHEN len(f) <> 12 THEN 'column_count'
       WHEN NOT (regexp_full_match(f[1], '[0-9]{{13}}|[0-9]{{16}}') AND regexp_full_match(f[7], '[0-9]{{13}}|[0-9]{{16}}') AND length(f[1]) = length(f[7])
-           AND TRY_CAST(f[7] AS BIGINT) >= TRY_CAST(f[1] AS BIGINT) AND regexp_full_match(f[9], '[0-9]+') AND regexp_full_match(f[12], {_NUM})
-           AND TRY_CAST(f[12] AS DOUBLE) = 0 AND {' AND '.join(f"regexp_full_match(f[{i}], {_NUM}) AND coalesce(isfinite(TRY_CAST(f[{i}] AS DOUBLE)), false)" for i in (2, 3, 4, 5, 6, 8, 10, 11))})
+           AND TRY_CAST(f[7] AS BIGINT) >= TRY_CAST(f[1] AS BIGINT) AND regexp_full_match(f[9], '[0-9]+') AND regexp_full_match(f[12], '(0+\\.?0*|\\.0+)([eE][+-]?[0-9]+)?') AND {' AND '.join(f"regexp_full_match(f[{i}], {_NUM}) AND coalesce(isfinite(TRY_CAST(f[{i}] AS DOUBLE)), false)" for i in (2, 3, 4, 5, 6, 8, 10, 11))})
       THEN 'value' END AS reason FROM data)
 """
 _READINGS = """
@@ -119,7 +118,7 @@ ORACLE = {
     "p4_bars": f"""WITH {_KLINES}, good AS (SELECT line_id, f, CASE WHEN length(f[1]) = 13 THEN 1000 ELSE 1 END AS k FROM judged WHERE reason IS NULL)
       SELECT line_id, make_timestamp(f[1]::BIGINT * k) AS "timestamp", make_timestamp(f[7]::BIGINT * k) AS available_time,
       {', '.join(f"f[{i}]::DOUBLE AS {c}" for i, c in ((2, "open"), (3, "high"), (4, "low"), (5, "close"), (6, "volume"), (8, "quote_volume"), (10, "taker_buy_volume"), (11, "taker_buy_quote_volume")))},
-      f[9]::BIGINT AS trade_count FROM good""",
+      TRY_CAST(f[9] AS BIGINT) AS trade_count, CASE WHEN TRY_CAST(f[9] AS BIGINT) IS NULL THEN f[9] END AS trade_count_overflow FROM good""",
     "p5_found": f"""WITH {_READINGS} SELECT symbol, strftime(make_timestamp(slot * n * 60000000), '%Y-%m-%d %H:%M') AS slot
       FROM slots ANTI JOIN usable USING (symbol, slot)""",
 }

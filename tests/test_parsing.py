@@ -39,6 +39,13 @@ CASES = {
     GOOD.replace(",10,", ',"1,0",'): "value",
     GOOD.replace(",10,", ',"1""0",'): "value",
     GOOD.replace("1735689600000", "１735689600000"): "value",
+    GOOD + "\n": "value",
+    GOOD + "\r\n": "value",
+    GOOD + "\r\r": "value",
+    GOOD + "\u2028": "value",
+    GOOD + "\x85": "value",
+    GOOD.replace(",3,", ",3\n,"): "value",
+    GOOD.replace("1735689600000,", "1735689600000\n,"): "value",
     GOOD + ",": "column_count",
     GOOD.rsplit(",", 1)[0]: "column_count",
     "": "column_count",
@@ -78,6 +85,9 @@ def test_valid_lines_are_typed(spark):
     rows = valid_bars(parse_klines(df)).orderBy("line_id").collect()
     assert [r["line_id"] for r in rows] == [1, 2] and str(rows[0]["timestamp"]) == "2025-01-01 00:00:00" and rows[0]["trade_count"] == 3
     assert invalid_rows(parse_klines(df)).count() == 1
+    wide = spark.createDataFrame([(1, GOOD), (2, GOOD.replace(",3,", ",12345678901234567890,")), (3, GOOD.replace(",3,", "," + "9" * 60 + ","))], df.schema)
+    got = {r["line_id"]: (r["trade_count"], r["trade_count_overflow"]) for r in valid_bars(parse_klines(wide)).collect()}
+    assert got == {1: (3, None), 2: (None, "12345678901234567890"), 3: (None, "9" * 60)}
 
 
 def machine(line):
