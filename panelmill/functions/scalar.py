@@ -81,3 +81,11 @@ def settle(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
     boundary the optimizer does not substitute through.
     """
     return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``on`` in which null keys meet null keys; the key columns come from ``left``."""
+    other = right.select(*[F.col(c).alias(f"__r{i}") if c in on else F.col(c) for i, c in enumerate(right.columns)])
+    names = {c: f"__r{right.columns.index(c)}" for c in on}
+    met = left.join(other, all_of([F.col(c).eqNullSafe(F.col(names[c])) for c in on]), how)
+    return met if how in ("left_semi", "left_anti") else met.drop(*names.values())

@@ -129,3 +129,17 @@ def coverage_violations(assigned: DataFrame, expected: DataFrame, keys: list[str
     """Expected keys whose number of assigned rows is not ``per_key`` (regime labels per timestamp, cohorts per segment)."""
     held = assigned.groupBy(*keys).agg(F.count("*").alias("assigned_rows"))
     return expected.select(*keys).distinct().join(held, keys, "left").select(*keys, F.coalesce("assigned_rows", F.lit(0)).alias("assigned_rows")).where(F.col("assigned_rows") != per_key)
+
+
+def cohort_set_differences(metrics: DataFrame, by: list[str], cost: float, other: float) -> DataFrame:
+    """Groups and cohorts that have metrics at one of two cost levels only: ``side`` is ``missing`` (at ``other``) or ``unexpected``."""
+    at = lambda c: metrics.where(F.abs(F.col("cost_bps") - c) <= 1e-12).select(*by, "cohort")
+    return key_differences(at(cost), at(other), [*by, "cohort"])
+
+
+def target_differences(predictions: DataFrame, panel: DataFrame, tolerance: float = 1e-7) -> DataFrame:
+    """Prediction keys that the panel lacks, or whose target differs from the panel's by more than ``tolerance``."""
+    source = panel.select("timestamp", "symbol", F.col("target").alias("__target"))
+    joined = predictions.join(source, ["timestamp", "symbol"], "left")
+    near = F.coalesce(F.abs(F.col("target") - F.col("__target")) <= tolerance, F.lit(False))
+    return joined.where(~near).select("timestamp", "symbol", "target", F.col("__target").alias("panel_target"))

@@ -19,36 +19,57 @@ def cohort(interval: int, holding: int, timestamp: str = "timestamp") -> Column:
     return F.pmod(floor_div(epoch_micros(F.col(timestamp)), interval), F.lit(holding)).cast("int")
 
 
-def rank_weights(df: DataFrame, top: Column | int, by: list[str] = []) -> DataFrame:  # noqa: B006
+def rank_weights(df: DataFrame, top: Column | int, by: list[str] = [], short: str = "raise") -> DataFrame:  # noqa: B006
     """``weight``: -0.5/k for the k lowest predictions of a timestamp, +0.5/k for the k highest, else 0.
 
-    Equal predictions are ordered by symbol.  A cross-section of under 2k symbols has null weights.
+    Equal predictions are ordered by symbol.  A cross-section of under 2k symbols raises when it is
+    reached, or is left out with ``short="skip"``.
     """
     k = F.lit(top) if isinstance(top, int) else top
     keys = [*by, "timestamp"]
     place = F.row_number().over(Window.partitionBy(*keys).orderBy("prediction", "symbol"))
     n = F.count("*").over(Window.partitionBy(*keys))
     ranked = df.select("*", place.alias("__place"), n.alias("__n"))
-    side = F.when(F.col("__place") <= k, -0.5).when(F.col("__place") > F.col("__n") - k, 0.5).otherwise(0.0)
-    return ranked.withColumn("weight", F.when(F.col("__n") >= 2 * k, side / k)).drop("__place", "__n")
+    weight = F.when(F.col("__place") <= k, -0.5).when(F.col("__place") > F.col("__n") - k, 0.5).otherwise(0.0) / k
+    if short == "skip":
+        return ranked.where(F.col("__n") >= 2 * k).withColumn("weight", weight).drop("__place", "__n")
+    problem = F.raise_error(F.format_string("top count is too large: %s symbols at %s", F.col("__n"), F.col("timestamp").cast("string"))).cast("double")
+    return ranked.withColumn("weight", F.when(F.col("__n") >= 2 * k, weight).otherwise(problem)).drop("__place", "__n")
+
+
+def weight_change(held: Column, before: Column) -> Column:
+    """Sum of absolute changes between two arrays of (symbol, weight); a symbol that is not there weighs nothing."""
+    old, new = F.map_from_entries(before), F.map_from_entries(held)
+    kept = F.aggregate(held, F.lit(0.0), lambda a, x: a + F.abs(x["weight"] - F.coalesce(F.try_element_at(old, x["symbol"]), F.lit(0.0))))
+    gone = F.aggregate(F.filter(before, lambda x: ~F.map_contains_key(new, x["symbol"])), F.lit(0.0), lambda a, x: a + F.abs(x["weight"]))
+    return kept + gone
+
+
+def held_periods(books: DataFrame, interval: int, holding: int, by: list[str]) -> DataFrame:
+    """``gross_return`` and ``turnover`` from one row per period with its ``held`` array of (symbol, weight) and ``gross_return``."""
+    us = epoch_micros(F.col("timestamp"))
+    rows = books.withColumn("cohort", cohort(interval, holding))
+    w = Window.partitionBy(*by, "cohort").orderBy("timestamp")
+    follows = F.coalesce(us - F.lag(us).over(w) == holding * interval, F.lit(False))
+    before = F.when(follows, F.lag("held").over(w))
+    none = F.array().cast(books.schema["held"].dataType)
+    placed = rows.select(*by, "cohort", "timestamp", "gross_return", "held", F.coalesce(before, none).alias("__before"))
+    return placed.select(*by, "cohort", "timestamp", "gross_return", weight_change(F.col("held"), F.col("__before")).alias("turnover"))
 
 
 def portfolio_periods(weighted: DataFrame, interval: int, holding: int, by: list[str] = []) -> DataFrame:  # noqa: B006
     """``gross_return`` and ``turnover`` per cohort and timestamp.
 
-    A cohort's turnover is the sum of absolute weight changes since its previous period; after a gap
-    (or at its start) it enters from cash and pays for its whole weights.
+    A cohort's turnover is the sum of absolute weight changes since its previous period, exits of symbols
+    that have left the cross-section included; after a gap (or at its start) it enters from cash and pays
+    for its whole weights.  A period shrinks to one row with the weights it holds before neighbouring
+    periods meet.
     """
-    w = Window.partitionBy(*by, "cohort", "symbol").orderBy("timestamp")
-    us = epoch_micros(F.col("timestamp"))
-    rows = weighted.withColumn("cohort", cohort(interval, holding)).select(
-        *by, "cohort", "timestamp", "weight", "execution_return", F.lag("weight").over(w).alias("__w"), (us - F.lag(us).over(w)).alias("__gap")
-    )
-    follows = F.col("__gap") == holding * interval
-    change = F.when(F.coalesce(follows, F.lit(False)), F.abs(F.col("weight") - F.col("__w"))).otherwise(F.abs("weight"))
-    return rows.groupBy(*by, "cohort", "timestamp").agg(
-        F.sum(F.col("weight") * F.col("execution_return")).alias("gross_return"), F.sum(change).alias("turnover")
+    w = F.col("weight")
+    books = weighted.groupBy(*by, "timestamp").agg(
+        F.sum(w * F.col("execution_return")).alias("gross_return"), F.collect_list(F.when(w != 0, F.struct("symbol", "weight"))).alias("held")
     )
+    return held_periods(books, interval, holding, by)
 
 
 def with_costs(periods: DataFrame, costs: list[float]) -> DataFrame:

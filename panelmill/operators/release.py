@@ -14,18 +14,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _HASH = re.compile("[0-9a-f]{64}")
-_CATEGORIES = {"artifacts": "evidence", "configs": "configuration", "data": "data", "docs": "documentation", "scripts": "scripts", "src": "source", "tests": "tests", "reports": "report"}
+# The category of a path by its first folder, or its first two.
+_CATEGORIES = {
+    "artifacts/evidence": "evidence", "artifacts/reports": "report", "artifacts": "artifact", "src": "source", "tests": "test",
+    "scripts": "script", "configs": "configuration", "docs": "documentation",
+}
 
 
 def classify_path(path: str) -> str:
-    """Category by the first folder; files at the top are ``root``."""
-    first, _, rest = path.partition("/")
-    return _CATEGORIES.get(first, "other") if rest else "root"
+    """Category by the first folders; whatever lies elsewhere belongs to the ``repository``."""
+    parts = Path(path).parts
+    if not parts:
+        return "other"
+    return next((_CATEGORIES[k] for k in ("/".join(parts[:2]), parts[0]) if k in _CATEGORIES), "repository")
 
 
 def porcelain_paths(output: str) -> list[str]:
-    """Paths in ``git status --porcelain`` output; of a rename the new one."""
-    return sorted({line[3:].split(" -> ")[-1].strip('"') for line in output.splitlines() if len(line) > 3})
+    """Paths in ``git status --porcelain`` output; of a rename the new one.  A line too short for a path is an error."""
+    lines = [line for line in output.splitlines() if line]
+    if short := [line for line in lines if len(line) < 4]:
+        raise ValueError(f"no status lines: {short}")
+    return sorted({line[3:].split(" -> ", 1)[-1].strip('"') for line in lines})
 
 
 def inventory(root: str | Path, paths: Iterable[str]) -> list[dict[str, Any]]:
@@ -128,3 +137,79 @@ def audit(checks: dict[str, Any]) -> list[dict[str, str]]:
         except Exception as e:  # noqa: BLE001
             rows.append({"check": name, "status": "failed", "detail": str(e)})
     return rows
+
+
+def release_checks(spark: SparkSession, root: str | Path, manifests: Iterable[str | Path], report: str | Path | None = None, evidence: dict[str, list[str]] | None = None) -> dict[str, Any]:
+    """The checks of a release for ``audit``: callables by name, each returning a detail or raising.
+
+    ``evidence`` maps evidence files to the columns they must have.  Paths are relative to ``root``.
+    """
+    base, listed = Path(root), [Path(m) for m in manifests]
+    git = lambda *a: subprocess.run(["git", "-C", str(base), *a], capture_output=True, text=True, check=True).stdout
+    tracked = lambda: [p for p in git("ls-files").splitlines() if (base / p).is_file()]
+    texts = lambda: [p for p in tracked() if Path(p).suffix in {".py", ".md", ".yaml", ".yml", ".toml", ".csv", ".json", ".html", ".txt"}]
+
+    def holds(condition: bool, detail: Any) -> Any:
+        if not condition:
+            raise ValueError(str(detail))
+        return detail
+
+    def text_rows() -> list[Any]:
+        return text_audit(spark, *[str(base / p) for p in texts()]).collect()
+
+    def wrong_texts(column: str, good: bool) -> Any:
+        bad = [r["path"] for r in text_rows() if r[column] is not good]
+        return holds(not bad, bad or f"{len(texts())} files")
+
+    def hashes(*statuses: str) -> Any:
+        rows = verify_manifests(listed, base)
+        bad = [r["path"] for r in rows if r["status"] not in statuses]
+        return holds(not bad, bad or f"{len(rows)} references")
+
+    def self_contained() -> Any:
+        from panelmill.operators.report import require_self_contained
+
+        require_self_contained((base / report).read_text(encoding="utf-8"))
+        return str(report)
+
+    def columns(path: str, wanted: list[str]) -> Any:
+        with open(base / path, encoding="utf-8") as f:
+            head = f.readline().strip().split(",")
+        return holds(not set(wanted) - set(head), sorted(set(wanted) - set(head)) or path)
+
+    def digest_twice() -> Any:
+        rows = inventory(base, tracked())
+        return holds(inventory_digest(rows) == inventory_digest(list(reversed(inventory(base, tracked())))), inventory_digest(rows))
+
+    def parses(suffix: str, load: Any) -> Any:
+        files = [p for p in tracked() if p.endswith(suffix)]
+        for p in files:
+            load((base / p).read_text(encoding="utf-8"))
+        return f"{len(files)} files"
+
+    def yaml_load(text: str) -> Any:
+        import yaml
+
+        return yaml.safe_load(text)
+
+    checks: dict[str, Any] = {
+        "work tree is clean": lambda: holds(not (left := porcelain_paths(git("status", "--porcelain"))), left or "clean"),
+        "files are tracked": lambda: holds(bool(tracked()), f"{len(tracked())} files"),
+        "inventory is reproducible": digest_twice,
+        "no tracked file is empty": lambda: holds(not (empty := [p for p in tracked() if not (base / p).stat().st_size and Path(p).name != "__init__.py"]), empty or "none"),
+        "no cache or build file is tracked": lambda: holds(not (bad := [p for p in tracked() if re.search(r"__pycache__|\.pyc$|\.egg-info|\.ipynb_checkpoints", p)]), bad or "none"),
+        "texts are UTF-8": lambda: wrong_texts("is_utf8", True),
+        "texts have line feeds only": lambda: wrong_texts("line_feeds_only", True),
+        "texts name no home folder": lambda: wrong_texts("names_home_folder", False),
+        "sources compile": lambda: parses(".py", lambda text: compile(text, "source", "exec")),
+        "JSON files parse": lambda: parses(".json", json.loads),
+        "YAML files parse": lambda: parses((".yaml", ".yml"), yaml_load),
+        "manifests exist": lambda: holds(not (gone := [str(m) for m in listed if not m.is_file()]), gone or f"{len(listed)} manifests"),
+        "manifests hold references": lambda: holds(not (bare := [str(m) for m in listed if not hash_references(json.loads(m.read_text()))]), bare or "all"),
+        "hashes are those of files now or in history": lambda: hashes("current", "history"),
+    }
+    if report is not None:
+        checks["report is self-contained"] = self_contained
+    for path, wanted in (evidence or {}).items():
+        checks[f"evidence columns: {path}"] = lambda path=path, wanted=wanted: columns(path, wanted)
+    return checks

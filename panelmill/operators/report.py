@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 REPORT_ROWS = 10_000
-FORBIDDEN = ("http://", "https://", "<script", "<link", "@import", "src=")
-REQUIRED = ("<!doctype html>", "<html", "<style>", "</html>")
+# What a report must not contain, in lower case, and what it must.
+FORBIDDEN = ("http://", "https://", "<script src=", "<link ", "<img ", "@import")
+REQUIRED = ("<style>", "<svg", "Executive conclusion", "Evidence inventory")
 
 
 def small_rows(df: DataFrame, order: list[str]) -> list[dict[str, Any]]:
@@ -69,7 +70,8 @@ def render_bars(rows: Sequence[dict[str, Any]], label: str, value: str, heading:
 
 def best_row(df: DataFrame, metric: str, name: str = "model"):
     """Name and value of the largest metric, the first name among equals: one aggregate."""
-    return df.agg(F.min_by(F.struct(name, metric), F.struct((-F.col(metric)).alias("m"), F.col(name))).alias("x")).select("x.*").first()
+    order = F.struct((-F.col(metric)).alias("m"), F.col(name))
+    return df.where(F.col(metric).isNotNull()).agg(F.min_by(F.struct(name, metric), order).alias("x")).select("x.*").first()
 
 
 def best_per_group(df: DataFrame, by: list[str], metric: str, name: str = "model") -> DataFrame:
@@ -78,17 +80,38 @@ def best_per_group(df: DataFrame, by: list[str], metric: str, name: str = "model
     return df.groupBy(*by).agg(F.min_by(name, order).alias(name), F.max(metric).alias(metric))
 
 
-def key_findings(oos: DataFrame, break_even: DataFrame, bootstrap: DataFrame, focus: float) -> list[dict[str, Any]]:
-    """The findings that the tables support, one record each."""
+def key_findings(
+    oos: DataFrame, break_even: DataFrame, bootstrap: DataFrame, focus: float, portfolio_bootstrap: DataFrame | None = None, ablations: DataFrame | None = None,
+    references: Sequence[str] = ("momentum", "reversal"), families: dict[str, str] | None = None,
+) -> list[dict[str, Any]]:
+    """The findings that the tables support, one record each; each is one small aggregate.
+
+    ``references`` are models that are not learned.  ``portfolio_bootstrap`` has
+    probability_break_even_above_focus_cost, ``ablations`` variant and mean_rank_ic_delta_vs_full per model.
+    """
+    out: list[dict[str, Any]] = []
+
+    def say(finding: str, model: str | None, value: Any, unit: str, variant: str = "") -> None:
+        out.append({"finding": finding, "model": model, "variant": variant, "value": value, "unit": unit})
+
     ic, be = best_row(oos, "mean_rank_ic"), best_row(break_even, "pooled_break_even_cost_bps")
+    say("highest mean rank IC", ic[0], ic[1], "IC")
+    learned = best_row(oos.where(~F.col("model").isin(*references)), "mean_rank_ic")
+    if learned[0] is not None:
+        say("highest mean rank IC of a learned model", learned[0], learned[1], "IC", (families or {}).get(learned[0], ""))
+    say("highest pooled break-even cost", be[0], be[1], "bps")
     above = break_even.agg(F.count_if(F.col("pooled_break_even_cost_bps") > focus).alias("n"), F.count("*").alias("all")).first()
+    say(f"models that break even above {focus:g} bps", None, above["n"], f"of {above['all']}")
     sure = bootstrap.where("confidence_lower > 0").agg(F.countDistinct("model").alias("n"), F.array_join(F.sort_array(F.collect_set("model")), ", ").alias("names")).first()
-    return [
-        {"finding": "highest mean rank IC", "model": ic[0], "value": ic[1], "unit": "IC"},
-        {"finding": "highest pooled break-even cost", "model": be[0], "value": be[1], "unit": "bps"},
-        {"finding": f"models that break even above {focus:g} bps", "model": None, "value": above["n"], "unit": f"of {above['all']}"},
-        {"finding": "models with an interval above zero", "model": sure["names"], "value": sure["n"], "unit": "models"},
-    ]
+    say("models with an interval above zero", sure["names"], sure["n"], "models")
+    if portfolio_bootstrap is not None and (row := best_row(portfolio_bootstrap, "probability_break_even_above_focus_cost"))[0] is not None:
+        say("highest frequency of break-even above the focus cost", row[0], row[1], "frequency")
+    if ablations is not None:
+        loss = F.struct(F.col("mean_rank_ic_delta_vs_full").alias("d"), F.col("model"), F.col("variant"))
+        row = ablations.where("variant <> 'full' and mean_rank_ic_delta_vs_full is not null").agg(F.min(loss).alias("x")).select("x.*").first()
+        if row and row["model"] is not None:
+            say("largest loss of mean rank IC without a feature family", row["model"], row["d"], "IC", row["variant"])
+    return out
 
 
 def build_report(heading: str, sections: Sequence[tuple[str, str]]) -> str:
@@ -104,17 +127,61 @@ def require_self_contained(page: str) -> None:
     low = page.lower()
     if found := [t for t in FORBIDDEN if t in low]:
         raise ValueError(f"report refers to something outside: {found}")
-    if missing := [t for t in REQUIRED if t not in low]:
+    if missing := [t for t in REQUIRED if t not in page]:
         raise ValueError(f"report lacks: {missing}")
 
 
-def report_of_tables(heading: str, tables: dict[str, tuple[DataFrame, list[str]]], findings: Sequence[dict[str, Any]] = (), charts: dict[str, tuple[str, str]] | None = None) -> str:
-    """A report of evidence tables, given as name -> (table, order); ``charts`` adds bars of (label, value) to a table's section."""
-    sections = [("Key findings", render_table(list(findings), ["finding", "model", "value", "unit"]))] if findings else []
-    for name, (df, order) in tables.items():
-        rows = small_rows(df, order)
-        content = render_table(rows, df.columns)
-        if charts and name in charts:
-            content += render_bars(rows, *charts[name], heading=title(name))
-        sections.append((title(name), content))
+#: Sections of a research report in order, and the evidence tables that each shows (those that are given).
+SECTIONS: list[tuple[str, list[str]]] = [
+    ("Executive conclusion", []),
+    ("Key findings", []),
+    ("Research design", ["fold_summary", "alignment_split_metrics"]),
+    ("Frozen model evidence", ["oos_model_metrics", "portfolio_summary", "break_even_model_summary", "bootstrap_prediction_summary", "bootstrap_portfolio_summary", "null_test_summary"]),
+    ("Trading frequency and breadth", ["rebalance_cadence_summary", "breadth_break_even"]),
+    ("Holding-horizon sensitivity", ["horizon_model_metrics", "horizon_break_even"]),
+    ("Fold and monthly stability", ["stability_model_summary"]),
+    ("Symbol dependence", ["symbol_dependence_model_summary"]),
+    ("Causal market regimes", ["regime_model_summary"]),
+    ("Feature-family ablations", ["ablation_feature_summary", "ablation_model_summary"]),
+    ("Limitations", []),
+    ("Evidence inventory", []),
+]
+
+
+def conclusion(findings: Sequence[dict[str, Any]], focus: float) -> str:
+    """One paragraph from the findings."""
+    by = {f["finding"]: f for f in findings}
+    best, cost = by.get("highest mean rank IC"), by.get("highest pooled break-even cost")
+    parts = []
+    if best:
+        parts.append(f"The highest out-of-sample mean rank IC is {format_value(best['value'])} ({best['model']}).")
+    if cost:
+        side = "above" if cost["value"] is not None and cost["value"] > focus else "not above"
+        parts.append(f"The highest pooled break-even cost is {format_value(cost['value'], 3)} bps ({cost['model']}), {side} the focus cost of {focus:g} bps.")
+    return "<p>" + html.escape(" ".join(parts)) + "</p>"
+
+
+def research_report(
+    heading: str, tables: dict[str, DataFrame], findings: Sequence[dict[str, Any]], focus: float, limitations: Sequence[str] = (),
+    inventory: Sequence[dict[str, Any]] = (), charts: dict[str, tuple[str, str]] | None = None,
+) -> str:
+    """The twelve sections of a study's report from its evidence tables; rows are shown in the order of their leading columns."""
+    pictures = {"oos_model_metrics": ("model", "mean_rank_ic"), "break_even_model_summary": ("model", "pooled_break_even_cost_bps")} | (charts or {})
+    told = {
+        "Executive conclusion": conclusion(findings, focus),
+        "Key findings": render_table(list(findings), ["finding", "model", "variant", "value", "unit"]),
+        "Limitations": "<ul>" + "".join(f"<li>{html.escape(x)}</li>" for x in limitations) + "</ul>",
+        "Evidence inventory": render_table(list(inventory), ["path", "bytes", "sha256"]),
+    }
+    sections = []
+    for title_, names in SECTIONS:
+        content = told.get(title_, "")
+        for name in (n for n in names if n in tables):
+            df = tables[name]
+            rows = small_rows(df, [c for c, t in df.dtypes if t in ("string", "int", "bigint", "timestamp_ntz")] or df.columns[:1])
+            content += f"<h3>{html.escape(title(name))}</h3>" + render_table(rows, df.columns)
+            if name in pictures and rows:
+                shown = [r for r in rows if r[pictures[name][1]] is not None]
+                content += render_bars(shown, *pictures[name], heading=title(pictures[name][1])) if shown else ""
+        sections.append((title_, content or "<p>No evidence was given for this section.</p>"))
     return build_report(heading, sections)

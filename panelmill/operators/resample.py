@@ -6,13 +6,18 @@ PCG64 stream where results must match a given seed bit for bit (one bounded seri
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from panelmill.functions.scalar import epoch_micros
-from panelmill.operators.xsection import correlation, with_ranks
+from panelmill.functions.scalar import epoch_micros, join_null_safe
+from panelmill.operators.xsection import with_ranks
 
 
 def md5_draw(*parts: Column) -> Column:
@@ -26,26 +31,39 @@ def md5_index(modulus: Column | int, *parts: Column) -> Column:
     return F.pmod(F.conv(F.substring(md5_draw(*parts), 1, 7), 16, 10).cast("bigint"), m)
 
 
+def section_ranks(df: DataFrame, by: list[str]) -> DataFrame:
+    """One row per cross-section: ``rows``, its (symbol, prediction_rank, target_rank) by symbol."""
+    return with_ranks(df, by).groupBy(*by, "timestamp").agg(F.sort_array(F.collect_list(F.struct("symbol", "prediction_rank", "target_rank"))).alias("rows"))
+
+
+def paired_correlation(x: Column, y: Column) -> Column:
+    """``correlation`` of two arrays of ranks of the same length, pair by pair."""
+    zero = F.struct(*[F.lit(0.0).alias(c) for c in ("n", "a", "b", "aa", "bb", "ab")])
+    add = {"n": lambda a, b: F.lit(1.0), "a": lambda a, b: a, "b": lambda a, b: b, "aa": lambda a, b: a * a, "bb": lambda a, b: b * b, "ab": lambda a, b: a * b}
+
+    def step(s: Column, pair: Column) -> Column:
+        a, b = pair["a"], pair["b"]
+        return F.when(a.isNotNull() & b.isNotNull(), F.struct(*[(s[k] + f(a, b)).alias(k) for k, f in add.items()])).otherwise(s)
+
+    def finish(s: Column) -> Column:
+        va, vb = s["n"] * s["aa"] - s["a"] * s["a"], s["n"] * s["bb"] - s["b"] * s["b"]
+        return F.try_divide(s["n"] * s["ab"] - s["a"] * s["b"], F.when((va > 0) & (vb > 0), F.sqrt(va * vb)))
+
+    return F.aggregate(F.zip_with(x, y, lambda a, b: F.struct(a.alias("a"), b.alias("b"))), zero, step, finish)
+
+
 def permuted_ic(df: DataFrame, permutations: int, by: list[str] = ["model"]) -> DataFrame:  # noqa: B006
     """Mean rank IC per permutation of the targets within each timestamp.
 
-    Ranks are computed once; a permutation orders the symbols of a timestamp by an md5 draw that does
-    not depend on ``by``, so all models see the same permuted targets.
+    Ranks are computed once and a cross-section is gathered once; its permutations run inside its arrays,
+    so what fans out is timestamps, not rows.  A permutation orders the symbols of a timestamp by an md5
+    draw that does not depend on ``by``, so all models see the same permuted targets.
     """
-    keys = [*by, "timestamp"]
-    ranked = with_ranks(df, by).select(*keys, "symbol", "prediction_rank", "target_rank")
     us = epoch_micros(F.col("timestamp"))
-    rows = ranked.select("*", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("permutation"))
-    drawn = rows.withColumn("d", md5_draw(F.col("permutation"), us, F.col("symbol")))
-    cell = Window.partitionBy(*keys, "permutation")
+    cells = section_ranks(df, by).select("*", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("permutation"))
     # The symbol in n-th place by draw gives its target to the symbol in n-th place by name.
-    names = drawn.withColumn("i", F.row_number().over(cell.orderBy("symbol"))).withColumn("j", F.row_number().over(cell.orderBy("d")))
-    left = names.select(*keys, "permutation", F.col("i").alias("place"), "prediction_rank")
-    right = names.select(*keys, "permutation", F.col("j").alias("place"), "target_rank")
-    paired = left.unionByName(right, allowMissingColumns=True).groupBy(*keys, "permutation", "place").agg(
-        F.max("prediction_rank").alias("p"), F.max("target_rank").alias("t")
-    )
-    per = paired.groupBy(*keys, "permutation").agg(correlation("p", "t").alias("ic"))
+    drawn = F.array_sort(F.transform("rows", lambda x: F.struct(md5_draw(F.col("permutation"), us, x["symbol"]).alias("d"), x["target_rank"].alias("t"))))
+    per = cells.select(*by, "permutation", paired_correlation(F.col("rows.prediction_rank"), F.transform(drawn, lambda x: x["t"])).alias("ic"))
     return per.groupBy(*by, "permutation").agg(F.avg("ic").alias("mean_rank_ic"), F.count("ic").alias("n_timestamps"))
 
 
@@ -76,20 +94,23 @@ def circular_block_sums(series: DataFrame, value: str, length: int, by: list[str
 
 
 def md5_block_bootstrap(series: DataFrame, value: str, length: int, resamples: int, seed: int, by: list[str]) -> DataFrame:
-    """Bootstrap means from floor(n / length) whole circular blocks, with md5 starts; SQL can repeat it.
+    """Bootstrap means from floor(n / length) whole circular blocks and one of n mod length, with md5 starts; SQL can repeat it.
 
-    The starts (resamples x blocks) join the block sums by position.  The last n mod length values of a
-    resample are not drawn; a series shorter than a block has no rows.
+    The starts (resamples x blocks) join the block sums by position, those of the partial block the
+    values themselves.  A series shorter than a block has no rows.
     """
     keys = [*by, "at"]
-    whole = circular_block_sums(series, value, length, by).withColumnRenamed("block_sum", "whole")
-    n = whole.groupBy(*by).agg(F.max("n").alias("n"))
-    draws = n.where(F.col("n") >= length).select(
-        *by, "n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample")
-    ).select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), (F.col("n") / length).cast("bigint") - 1)).alias("block"))
-    starts = draws.select(*by, "n", "resample", md5_index(F.col("n"), F.lit(seed), F.col("resample"), F.col("block")).alias("at"))
-    sums = starts.join(whole.select(*keys, "whole"), keys).groupBy(*by, "n", "resample").agg(F.sum("whole").alias("s"), F.count("*").alias("blocks"))
-    return sums.select(*by, "resample", (F.col("s") / (F.col("blocks") * length)).alias("mean_value"))
+    w = Window.partitionBy(*by)
+    placed = series.select(*by, (F.row_number().over(w.orderBy("timestamp")) - 1).cast("bigint").alias("at"), F.col(value).alias("v"))
+    whole = circular_block_sums(series, value, length, by).select(*by, F.col("at").cast("bigint").alias("at"), "n", F.col("block_sum").alias("v"))
+    n = whole.groupBy(*by).agg(F.max("n").alias("n")).where(F.col("n") >= length)
+    draws = n.select(*by, "n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample"))
+    blocks = draws.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("n") / length) - 1)).alias("block"))
+    starts = blocks.select(*by, "n", "resample", md5_index(F.col("n"), F.lit(seed), F.col("resample"), F.col("block")).alias("at"))
+    rest, first = F.col("n") % length, md5_index(F.col("n"), F.lit(seed), F.col("resample"), F.lit("rest"))
+    steps = draws.where(rest > 0).select(*by, "n", "resample", F.explode(F.transform(F.sequence(F.lit(0).cast("bigint"), rest - 1), lambda i: (first + i) % F.col("n"))).alias("at"))
+    drawn = join_null_safe(starts, whole.select(*keys, "v"), keys).unionByName(join_null_safe(steps, placed, keys))
+    return drawn.groupBy(*by, "resample").agg((F.sum("v") / F.max("n")).alias("mean_value"))
 
 
 def bootstrap_summary(samples: DataFrame, value: str, level: float, by: list[str]) -> DataFrame:
@@ -161,30 +182,41 @@ def portfolio_distribution(samples: DataFrame, cost: float, annual: float, by: l
 
 
 def seeded_permutation_ic(df: DataFrame, permutations: int, seed: int) -> DataFrame:
-    """Mean rank IC per (model, fold, permutation) with rows permuted by a seeded uniform matrix.
+    """Mean rank IC per (model, fold, permutation) with rows permuted by a seeded uniform matrix of timestamps x symbols.
 
-    Seeds are (seed, permutation, fold): one fold's permuted targets are shared by all its models.  A
-    group is one fold's ranked panel; it fans out over permutations, each its own task.
+    Seeds are (seed, permutation, fold): one fold's permuted targets are shared by all its models.  Each
+    timestamp jumps the generator to its own row of the matrix, so a cross-section is all a task needs.
+    Cross-sections that lack one of the fold's symbols are left out.
     """
-    ranked = with_ranks(df, ["model", "fold"]).select(
-        "model", "fold", "timestamp", "symbol", "prediction_rank", "target_rank", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("permutation")
-    )
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        fold, permutation = int(key[0]), int(key[1])
-        rows = []
-        order = None
-        for model, part in pdf.groupby("model", sort=True):
-            wide = part.pivot(index="timestamp", columns="symbol", values=["prediction_rank", "target_rank"]).sort_index()
-            p, t = wide["prediction_rank"].to_numpy("float64"), wide["target_rank"].to_numpy("float64")
-            if order is None or order.shape != t.shape:
-                rng = np.random.default_rng(np.random.SeedSequence([seed, permutation, fold]))
-                order = np.argsort(rng.random(t.shape), axis=1, kind="stable")
-            t = np.take_along_axis(t, order, axis=1)
-            a, b = p - p.mean(axis=1, keepdims=True), t - t.mean(axis=1, keepdims=True)
-            d = np.sqrt((a * a).sum(axis=1) * (b * b).sum(axis=1))
-            ic = (a * b).sum(axis=1)[d > 0] / d[d > 0]
-            rows.append((model, fold, permutation, float(ic.mean()) if len(ic) else None, len(ic)))
-        return pd.DataFrame(rows, columns=["model", "fold", "permutation", "mean_rank_ic", "n_timestamps"])
-
-    return ranked.groupBy("fold", "permutation").applyInPandas(run, "model string, fold int, permutation int, mean_rank_ic double, n_timestamps bigint")
+    by = ["model", "fold"]
+    row = Window.partitionBy("fold").orderBy("timestamp")  # over a fold's distinct timestamps only
+    rows_of = df.select("fold", "timestamp").distinct().select("fold", "timestamp", (F.row_number().over(row) - 1).cast("bigint").alias("row"))
+    width = df.groupBy("fold").agg(F.countDistinct("symbol").alias("width"))
+    cells = section_ranks(df, by).join(rows_of, ["fold", "timestamp"]).join(width, "fold").where(F.size("rows") == F.col("width"))
+    flat = cells.select(*by, "row", F.col("rows.prediction_rank").alias("p"), F.col("rows.target_rank").alias("t"))
+    schema = T.StructType([df.schema["model"], df.schema["fold"], T.StructField("ic", T.ArrayType(T.DoubleType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        states: dict[int, list[dict]] = {}
+        bits = np.random.PCG64()
+        draw = np.random.Generator(bits).random
+        for batch in batches:
+            out = []
+            for fold, at, p, t in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4))):
+                if fold not in states:
+                    states[fold] = [np.random.PCG64(np.random.SeedSequence([seed, k, int(fold)])).state for k in range(permutations)]
+                p, t = np.array(p, "float64"), np.array(t, "float64")
+                orders = np.empty((permutations, len(t)), "int64")
+                for k, state in enumerate(states[fold]):
+                    bits.state = state
+                    bits.advance(at * len(t))
+                    orders[k] = np.argsort(draw(len(t)), kind="stable")
+                a, b = p - p.mean(), t[orders] - t.mean()
+                d = np.sqrt((a * a).sum() * (b * b).sum(axis=1))
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    out.append(np.where(d > 0, b @ a / d, np.nan).tolist())
+            ics = [[None if x != x else x for x in row] for row in out]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ics, pa.list_(pa.float64()))], schema=to_arrow_schema(schema))
+
+    per = flat.mapInArrow(run, schema).select(*by, F.posexplode("ic").alias("permutation", "ic"))
+    return per.groupBy(*by, "permutation").agg(F.avg("ic").alias("mean_rank_ic"), F.count("ic").alias("n_timestamps"))

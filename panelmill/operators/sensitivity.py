@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from panelmill.functions.scalar import epoch_micros
+from panelmill.functions.scalar import epoch_micros, join_null_safe
 from panelmill.operators.bars import by_symbol
 from panelmill.operators.features import demean
-from panelmill.operators.portfolio import portfolio_periods, rank_weights
+from panelmill.operators.portfolio import held_periods, portfolio_periods
+from panelmill.operators.xsection import ic_moments, with_ranks
 
 
 def breadth_periods(joined: DataFrame, tops: list[int], interval: int, holding: int, by: list[str] = ["model"]) -> DataFrame:  # noqa: B006
@@ -60,19 +67,97 @@ def annual_periods(interval_minutes: float, horizon: int) -> float:
     return float(round(n))
 
 
-def leave_one_out(df: DataFrame, symbols: list[str] | DataFrame) -> DataFrame:
-    """The rows once per excluded symbol, without that symbol's; ``symbols`` is a driver-side list or a table with ``symbol``, of any length."""
+def _universe(df: DataFrame, symbols: list[str] | DataFrame) -> DataFrame:
+    """The rows with ``__symbols``, all that are to be left out: a literal list, or a table with ``symbol`` of any length as a one-row aggregate."""
     if isinstance(symbols, DataFrame):
-        every = F.broadcast(symbols.agg(F.collect_set("symbol").alias("__symbols")))
-        fanned = df.crossJoin(every).withColumn("excluded_symbol", F.explode("__symbols")).drop("__symbols")
-    else:
-        fanned = df.select("*", F.explode(F.array(*[F.lit(s) for s in symbols])).alias("excluded_symbol"))
-    return fanned.where(F.col("symbol") != F.col("excluded_symbol"))
+        return df.crossJoin(F.broadcast(symbols.agg(F.sort_array(F.collect_set("symbol")).alias("__symbols"))))
+    return df.withColumn("__symbols", F.array(*[F.lit(s) for s in symbols]).cast("array<string>"))
+
+
+def section_ic_without(symbols: np.ndarray, p: np.ndarray, t: np.ndarray, left_out: np.ndarray) -> np.ndarray:
+    """Rank IC of one cross-section without each of ``left_out``; a symbol that is not in it leaves it whole.
+
+    ``p`` and ``t`` are average ranks.  Leaving one out lowers the ranks above it by one and its ties by a
+    half, so all cases come from the ranks of the whole section.  NaN stands for a missing value.
+    """
+    place = {s: i for i, s in enumerate(symbols)}
+    at = np.array([place.get(s, -1) for s in left_out], "int64")
+    out = np.full(len(at), np.nan)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        for a in range(0, len(at), 256):
+            own = at[a : a + 256, None]
+            inside = own >= 0
+            cut = [np.where(inside, (x[None, :] > x[own]) + 0.5 * (x[None, :] == x[own]), 0.0) for x in (p, t)]
+            keep = np.isfinite(p) & np.isfinite(t) & (np.arange(len(p))[None, :] != own)
+            x, y = (np.where(keep, r[None, :] - c, 0.0) for r, c in zip((p, t), cut))
+            n, sx, sy = keep.sum(1), x.sum(1), y.sum(1)
+            vx, vy = n * (x * x).sum(1) - sx * sx, n * (y * y).sum(1) - sy * sy
+            out[a : a + 256] = np.where((vx > 0) & (vy > 0), (n * (x * y).sum(1) - sx * sy) / np.sqrt(vx * vy), np.nan)
+    return out
+
+
+def leave_one_out_summary(df: DataFrame, symbols: list[str] | DataFrame, by: list[str] = ["model"]) -> DataFrame:  # noqa: B006
+    """The prediction summary once per ``excluded_symbol``, without that symbol's rows.
+
+    A cross-section is gathered once and gives its rank ICs for all symbols; errors are those of all rows
+    less the symbol's own.  The work grows with timestamps x symbols output rows, not with rows x symbols.
+    """
+    ranked = with_ranks(df, by)
+    section = ranked.groupBy(*by, "timestamp").agg(F.collect_list(F.struct("symbol", "prediction_rank", "target_rank")).alias("rows"))
+    whole = _universe(section, symbols).select(*by, "timestamp", *[F.col(f"rows.{c}").alias(c) for c in ("symbol", "prediction_rank", "target_rank")], "__symbols")
+    schema = T.StructType([df.schema[b] for b in by] + [T.StructField("excluded_symbol", df.schema["symbol"].dataType), T.StructField("rank_ic", T.DoubleType())])
+    n_by = len(by)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        target = to_arrow_schema(schema)
+        for batch in batches:
+            names, p, t, left_out = (batch.column(n_by + 1 + i).to_pylist() for i in range(4))
+            for r in range(batch.num_rows):
+                out = [x for x in left_out[r] if names[r] != [x]]  # nothing is left of a section of that symbol only
+                ic = section_ic_without(np.array(names[r], object), np.array(p[r], "float64"), np.array(t[r], "float64"), np.array(out, object))
+                key = [batch.column(i).take(pa.array(np.full(len(ic), r))).cast(target.field(i).type) for i in range(n_by)]
+                yield pa.RecordBatch.from_arrays([*key, pa.array(out, pa.string()), pa.array(ic, from_pandas=True)], schema=target)
+
+    ic = whole.mapInArrow(run, schema).groupBy(*by, "excluded_symbol").agg(*ic_moments())
+    error = F.col("prediction") - F.col("target")
+    own = df.groupBy(*by, "symbol").agg(F.sum(error * error).alias("s"), F.sum(F.abs(error)).alias("a"), F.count(error).alias("e"), F.count("*").alias("n"))
+    total = own.groupBy(*by).agg(*[F.sum(c).alias(f"all_{c}") for c in ("s", "a", "e", "n")])
+    less = lambda c: F.col(f"all_{c}") - F.coalesce(c, F.lit(0))
+    joined = join_null_safe(join_null_safe(ic, total, by), own.withColumnRenamed("symbol", "excluded_symbol"), [*by, "excluded_symbol"], "left") if by else None
+    if joined is None:
+        raise ValueError("leave_one_out_summary needs a grouping column")
+    moments = ["mean_rank_ic", "median_rank_ic", "rank_ic_std", "rank_ic_ir", "positive_timestamp_fraction", "n_timestamps"]
+    return joined.select(
+        *by, "excluded_symbol", *moments, F.sqrt(F.try_divide(less("s"), less("e"))).alias("rmse"), F.try_divide(less("a"), less("e")).alias("mae"), less("n").alias("n_rows")
+    )
 
 
 def leave_one_out_periods(joined: DataFrame, symbols: list[str] | DataFrame, top: int, interval: int, holding: int, by: list[str] = ["model"]) -> DataFrame:  # noqa: B006
-    keys = [*by, "excluded_symbol"]
-    return portfolio_periods(rank_weights(leave_one_out(joined, symbols), top, keys), interval, holding, keys)
+    """Portfolio periods once per ``excluded_symbol``; cross-sections of under 2 x ``top`` other symbols are left out.
+
+    Of a cross-section only the ``top`` + 1 rows at either end can be held, whichever symbol is left out, so
+    it shrinks to those before it fans out over the symbols.
+    """
+    keys = [*by, "timestamp"]
+    section = Window.partitionBy(*keys)
+    ranked = joined.select(*keys, "symbol", "execution_return", F.row_number().over(section.orderBy("prediction", "symbol")).alias("place"), F.count("*").over(section).alias("n"))
+    row = F.struct("place", "symbol", "execution_return")
+    ends = ranked.groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.when(F.col("place") <= top + 1, row))).alias("low"),
+        F.sort_array(F.collect_list(F.when(F.col("place") > F.col("n") - top - 1, row))).alias("high"),
+        F.max("n").alias("n"),
+    )
+    fanned = _universe(ends, symbols).select(*keys, "low", "high", "n", F.explode("__symbols").alias("excluded_symbol"))
+    other = lambda side: F.filter(side, lambda x: x["symbol"] != F.col("excluded_symbol"))
+    # With exactly 2 x top symbols every one of them is at an end, so its absence shows there.
+    enough = (F.col("n") > 2 * top) | (F.col("n") == 2 * top) & (F.size(other("low")) == F.size("low")) & (F.size(other("high")) == F.size("high"))
+    picked = fanned.where(enough).select(*keys, "excluded_symbol", F.slice(other("low"), 1, top).alias("low"), F.slice(other("high"), -top, top).alias("high"))
+    weigh = lambda side, w: F.transform(side, lambda x: F.struct(x["symbol"].alias("symbol"), F.lit(w).alias("weight")))
+    total = lambda side: F.aggregate(side, F.lit(0.0), lambda a, x: a + x["execution_return"])
+    books = picked.select(
+        *keys, "excluded_symbol", ((total("high") - total("low")) * (0.5 / top)).alias("gross_return"), F.concat(weigh("low", -0.5 / top), weigh("high", 0.5 / top)).alias("held")
+    )
+    return held_periods(books, interval, holding, [*by, "excluded_symbol"])
 
 
 def symbol_contributions(weighted: DataFrame, by: list[str] = ["model"]) -> DataFrame:  # noqa: B006

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from datetime import datetime
+from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +25,15 @@ class Fold:
 
     @staticmethod
     def parse(fold: int, *ends: str) -> Fold:
-        return Fold(fold, *(datetime.fromisoformat(e) for e in ends))
+        """From texts with a zone (``Z`` or an offset), turned to UTC; a time without one is refused."""
+        return Fold(fold, *(_utc(e) for e in ends))
+
+
+def _utc(text: str) -> datetime:
+    moment = datetime.fromisoformat(text)
+    if moment.tzinfo is None:
+        raise ValueError(f"fold boundary without a time zone: {text!r}")
+    return moment.astimezone(UTC).replace(tzinfo=None)
 
 
 def _fold_rows(folds: Sequence[Fold]) -> Column:

@@ -43,30 +43,44 @@ def with_ranks(df: DataFrame, by: list[str] = []) -> DataFrame:  # noqa: B006
     return df.select("*", average_rank("prediction", keys).alias("prediction_rank"), average_rank("target", keys).alias("target_rank"))
 
 
+def _sections(df: DataFrame, by: list[str]) -> DataFrame:
+    """Per timestamp: rank IC, symbols, and the sums that errors are made of."""
+    error = F.col("prediction") - F.col("target")
+    return with_ranks(df, by).groupBy(*by, "timestamp").agg(
+        correlation("prediction_rank", "target_rank").alias("rank_ic"), F.count("*").alias("symbols"),
+        F.sum(error * error).alias("__squares"), F.sum(F.abs(error)).alias("__sizes"), F.count(error).alias("__errors"),
+    )
+
+
 def rank_ic(df: DataFrame, by: list[str] = []) -> DataFrame:  # noqa: B006
     """``rank_ic`` of every timestamp, null where undefined; the row stays."""
-    return with_ranks(df, by).groupBy(*by, "timestamp").agg(correlation("prediction_rank", "target_rank").alias("rank_ic"), F.count("*").alias("symbols"))
+    return _sections(df, by).select(*by, "timestamp", "rank_ic", "symbols")
 
 
-def summarize_ic(ic: DataFrame, by: list[str]) -> DataFrame:
-    """Moments of the defined rank ICs; ``n_timestamps`` counts all timestamps."""
+def ic_moments() -> list[Column]:
+    """Aggregates of a timeline of rank ICs: moments of the defined ones; ``n_timestamps`` counts all timestamps."""
     x = F.col("rank_ic")
     spread = F.stddev_samp(x)
-    return ic.groupBy(*by).agg(
+    return [
         F.avg(x).alias("mean_rank_ic"),
         F.percentile(x, 0.5).alias("median_rank_ic"),
         spread.alias("rank_ic_std"),
         F.try_divide(F.avg(x), F.when(spread > FLAT, spread)).alias("rank_ic_ir"),
         F.avg(F.when(x.isNotNull(), (x > 0).cast("double"))).alias("positive_timestamp_fraction"),
         F.count("*").alias("n_timestamps"),
-    )
+    ]
+
+
+def summarize_ic(ic: DataFrame, by: list[str]) -> DataFrame:
+    return ic.groupBy(*by).agg(*ic_moments())
 
 
 def summarize_predictions(df: DataFrame, by: list[str] = ["model"]) -> DataFrame:  # noqa: B006
-    """Rank IC summary and errors per group; ranks are taken within (group, timestamp)."""
-    error = F.col("prediction") - F.col("target")
-    errors = df.groupBy(*by).agg(F.sqrt(F.avg(error * error)).alias("rmse"), F.avg(F.abs(error)).alias("mae"), F.count("*").alias("n_rows"))
-    return summarize_ic(rank_ic(df, by), by).join(errors, by)
+    """Rank IC summary and errors per group; ranks are taken within (group, timestamp).  One exchange by cross-section, one by group."""
+    n = F.sum("__errors")
+    return _sections(df, by).groupBy(*by).agg(
+        *ic_moments(), F.sqrt(F.try_divide(F.sum("__squares"), n)).alias("rmse"), F.try_divide(F.sum("__sizes"), n).alias("mae"), F.sum("symbols").alias("n_rows")
+    )
 
 
 def fold_summary_of_metrics(metrics: DataFrame, by: list[str] = ["model"]) -> DataFrame:  # noqa: B006

@@ -2,7 +2,7 @@
 
 Each takes a ``Study`` and returns lazy DataFrames by name; nothing runs until one is written.  The
 expensive shared steps (predictions joined with execution returns, portfolio periods) are built once per
-``Study``; ``persisted`` keeps them across the tables of an analysis.
+``Study``; with ``keep`` they are persisted across the tables of an analysis until ``release``.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import cached_property
+from typing import Any
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -20,12 +21,14 @@ from panelmill.operators import checks as K
 from panelmill.operators import costs as C
 from panelmill.operators import features as X
 from panelmill.operators import models as M
+from panelmill.operators import networks as W
 from panelmill.operators import portfolio as P
 from panelmill.operators import rebalance as Y
 from panelmill.operators import regimes as G
 from panelmill.operators import resample as Z
 from panelmill.operators import scaling as N
 from panelmill.operators import sensitivity as S
+from panelmill.operators import sequences as E
 from panelmill.operators import splits as L
 from panelmill.operators import stability as T
 from panelmill.operators import xsection as R
@@ -39,7 +42,7 @@ class Study:
     """Inputs and settings of an evaluation.
 
     ``bars``: timestamp, symbol, open, close (more for panels); ``predictions``: model, fold, timestamp,
-    symbol, target, prediction (test rows).
+    symbol, target, prediction (test rows).  ``panel`` (features, labels) is for the audits and models.
     """
 
     bars: DataFrame
@@ -51,6 +54,8 @@ class Study:
     costs: list[float] = field(default_factory=lambda: [0.0, 1.0, 2.0, 5.0, 10.0])
     focus: float = 5.0
     keep: bool = False
+    panel: DataFrame | None = None
+    _held: list[DataFrame] = field(default_factory=list)
 
     @property
     def interval(self) -> int:
@@ -61,11 +66,18 @@ class Study:
         return S.annual_periods(self.interval_minutes, self.holding)
 
     def persisted(self, df: DataFrame) -> DataFrame:
-        return df.persist(StorageLevel.MEMORY_AND_DISK) if self.keep else df
+        if self.keep:
+            self._held.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+        return df
+
+    def release(self) -> None:
+        """Let go of what was persisted."""
+        while self._held:
+            self._held.pop().unpersist()
 
     @cached_property
     def joined(self) -> DataFrame:
-        return self.persisted(self.predictions.join(X.execution_returns(self.bars, self.holding), ["timestamp", "symbol"]))
+        return self.persisted(X.with_execution(self.predictions, self.bars, self.holding))
 
     @cached_property
     def weighted(self) -> DataFrame:
@@ -111,14 +123,22 @@ def null_tests(s: Study, permutations: int = 50, shifts: Sequence[int] = (-48, -
     return {"null_permutation_metrics": nulls, "null_test_summary": Z.null_summary(nulls, observed), "null_time_shift_metrics": by_shift, "identity": K.identity_error(s.predictions)}
 
 
-def label_audit(s: Study, panel: DataFrame) -> Tables:
+def _panel(s: Study) -> DataFrame:
+    if s.panel is None:
+        raise ValueError("this analysis needs the panel")
+    return s.panel
+
+
+def label_audit(s: Study, panel: DataFrame | None = None) -> Tables:
+    """Labels against a reference rebuilt from bars, split coverage, and the targets that predictions were scored on."""
+    panel = panel if panel is not None else _panel(s)
     reference = S.horizon_reference(s.bars, [s.holding], s.interval)
     splits = L.assign_folds(panel, s.folds).where("split <> 'purged'")
     rows = splits.groupBy("fold", "split").agg(
         F.count("*").alias("rows"), F.countDistinct("timestamp").alias("timestamps"), F.min("timestamp").alias("first_timestamp"), F.max("timestamp").alias("last_timestamp"),
         F.max("label_end_timestamp").alias("last_label_end_timestamp"),
     )
-    return {"alignment_symbol_metrics": K.alignment_audit(panel, reference), "alignment_split_metrics": rows, "model_alignment": K.model_alignment(s.predictions)}
+    return {"alignment_symbol_metrics": K.alignment_audit(panel, reference), "alignment_split_metrics": rows, "model_alignment": K.model_alignment(s.predictions), "target_differences": K.target_differences(s.predictions, panel)}
 
 
 def break_even_costs(s: Study, start: float = 0.0, end: float = 10.0, step: float = 0.1) -> Tables:
@@ -182,7 +202,7 @@ def symbol_dependence(s: Study, symbols: Sequence[str] | None = None) -> Tables:
     names = list(symbols) if symbols is not None else s.predictions.select("symbol").distinct()
     keys = ["model", "excluded_symbol"]
     full_ic = R.summarize_predictions(s.predictions).select("model", F.col("mean_rank_ic").alias("full_mean_rank_ic"))
-    ic = R.summarize_predictions(S.leave_one_out(s.predictions, names), keys).join(full_ic, "model").withColumn("rank_ic_delta", F.col("mean_rank_ic") - F.col("full_mean_rank_ic"))
+    ic = S.leave_one_out_summary(s.predictions, names).join(full_ic, "model").withColumn("rank_ic_delta", F.col("mean_rank_ic") - F.col("full_mean_rank_ic"))
     metrics = P.cohort_metrics(S.leave_one_out_periods(s.joined, names, s.top, s.interval, s.holding), s.costs, s.annual, keys)
     full = C.sensitivity_break_even(s.metrics, ["model"]).select("model", F.col("pooled_break_even_cost_bps").alias("full_break_even_cost_bps"))
     summary = C.sensitivity_break_even(metrics, keys).join(C.focus_cost_returns(metrics, s.focus, s.annual, keys), keys).join(full, "model")
@@ -241,23 +261,100 @@ def research_panel(bars: DataFrame, folds: Sequence[L.Fold], horizon: int = 12,
     return {"research_panel": panel, "fold_summary": L.fold_summary(panel, folds), "bar_validation": B.validate_bars(bars, interval_minutes * MINUTE)}
 
 
-def baselines(panel: DataFrame, folds: Sequence[L.Fold], features: Sequence[str] = tuple(X.FEATURES), alphas: Sequence[float] = (0.1, 1.0, 10.0, 100.0)) -> Tables:
-    """Momentum, reversal and ridge (the penalty chosen by validation rank IC) on every split; one Gram pass fits all folds and penalties."""
+PREDICTED = ["model", "fold", "split", "timestamp", "label_end_timestamp", "symbol", "raw_target", "target", "prediction"]
+
+
+def _tables_of(predictions: DataFrame) -> Tables:
+    metrics = R.summarize_predictions(predictions, ["model", "fold", "split"])
+    return {"predictions": predictions, "fold_metrics": metrics, "summary": R.fold_summary_of_metrics(metrics, ["model", "split"])}
+
+
+def _union(parts: Sequence[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _boosted(rows: DataFrame, fold: int, features: list[str], seed: int, iterations: int) -> DataFrame:
+    """The rows of a fold scored by trees fitted to its training rows, stopped by its validation rows."""
+    own = rows.where(F.col("fold") == fold)
+    model = M.fit_boosted_trees(own.where("split = 'train'"), own.where("split = 'validation'"), features, seed=seed, iterations=iterations)
+    return model.transform(own).drop("__x")
+
+
+def baselines(
+    panel: DataFrame, folds: Sequence[L.Fold], features: Sequence[str] = tuple(X.FEATURES), alphas: Sequence[float] = (0.1, 1.0, 10.0, 100.0), trees: int = 0, seed: int = 42
+) -> Tables:
+    """Momentum, reversal and ridge (the penalty chosen by validation rank IC) on every split; one Gram pass fits all folds and penalties.
+
+    ``trees`` > 0 adds gradient-boosted trees of up to so many iterations, fitted per fold on the executors.
+    """
     rows = L.assign_folds(panel, folds).where("split <> 'purged'")
     names = list(features)
     scaled = N.apply_robust_scaler(rows, N.fit_robust_scaler(rows.where("split = 'train'"), names), names)
     fitted = M.fit_ridge(scaled.where("split = 'train'"), names, list(alphas))
     chosen = M.first_best(R.summarize_predictions(M.score_by_fold(scaled.where("split = 'validation'"), fitted), ["fold", "alpha"]), "mean_rank_ic", ["fold"])
     best = {r["fold"]: r["alpha"] for r in chosen.collect()}
-    columns = ["model", "fold", "split", "timestamp", "label_end_timestamp", "symbol", "raw_target", "target", "prediction"]
-    ridge = M.score_by_fold(scaled, {(f, 0.0): fitted[f, a] for f, a in best.items()}).withColumn("model", F.lit("ridge")).select(*columns)
-    predictions = M.reference_scores(rows).select(*columns).unionByName(ridge)
-    metrics = R.summarize_predictions(predictions, ["model", "fold", "split"])
-    return {"predictions": predictions, "model_selection": chosen, "fold_metrics": metrics, "summary": R.fold_summary_of_metrics(metrics, ["model", "split"])}
+    ridge = M.score_by_fold(scaled, {(f, 0.0): fitted[f, a] for f, a in best.items()}).withColumn("model", F.lit("ridge"))
+    parts = [M.reference_scores(rows).select(*PREDICTED), ridge.select(*PREDICTED)]
+    if trees:
+        parts += [_boosted(rows, f.fold, names, seed, trees).withColumn("model", F.lit("boosted_trees")).select(*PREDICTED) for f in folds]
+    return _tables_of(_union(parts)) | {"model_selection": chosen}
+
+
+def neural(
+    panel: DataFrame, folds: Sequence[L.Fold], kind: str, features: Sequence[str] = tuple(X.FEATURES), length: int = 128, stride: int = 6, seed: int = 42,
+    epochs: int = 8, patience: int = 2, batch: int | None = None, rate: float | None = None, drop_rate: float = 0.1, **shape: Any,
+) -> Tables:
+    """Scores of an ``mlp``, ``tcn`` or ``transformer`` on validation and test rows, one network per fold.
+
+    Features are scaled by the fold's training rows.  Networks are fitted on the driver to at most
+    TRAINING_ROWS rows (TRAINING_WINDOWS windows, from every ``stride``-th endpoint) of the training
+    split, and score all rows on the executors.  ``shape`` goes to the network's initial weights.
+    """
+    names = list(features)
+    keep = ["fold", "split", "timestamp", "label_end_timestamp", "symbol", "raw_target", "target"]
+    scored, history, coverage = [], [], []
+    for fold in folds:
+        rows = L.assign_folds(panel, [fold])
+        scaled = N.apply_robust_scaler(rows, N.fit_robust_scaler(rows.where("split = 'train'"), names), names, float_first=kind != "mlp")
+        if kind == "mlp":
+            parts = {k: scaled.where(F.col("split") == k).select(*keep, *names) for k in ("train", "validation", "test")}
+            inputs, bound, start = names, W.TRAINING_ROWS, W.mlp_init(len(names), seed=seed + fold.fold, **shape)
+        else:
+            ends = {k: E.sequence_endpoints(scaled, length, k) for k in ("train", "validation", "test")}
+            ends["train"] = E.subsample_endpoints(ends["train"], stride)
+            carried = tuple(c for c in keep if c not in ("timestamp", "symbol", "target"))
+            parts = {k: E.sequence_windows(scaled, names, length, e, carried).select(*keep, "window") for k, e in ends.items()}
+            inputs, bound = "window", W.TRAINING_WINDOWS
+            if kind == "tcn":
+                start = W.tcn_init(len(names), seed=seed + fold.fold, **({"blocks": max(1, (length - 1).bit_length())} | shape))
+            else:
+                patch = shape.get("patch", 4)
+                if length % patch:
+                    raise ValueError("the sequence length must hold whole patches")
+                start = W.transformer_init(len(names), seed=seed + fold.fold, **({"patches": length // patch} | shape))
+            coverage.append(E.endpoint_coverage(scaled, length).withColumn("fold", F.lit(fold.fold)))
+        x, y, _ = W.driver_sample(parts["train"], inputs, ["timestamp", "symbol"], rows=bound)
+        validation = W.driver_sample(parts["validation"], inputs, ["timestamp", "symbol"], rows=bound)
+        size, step = (batch or 8192, rate or 1e-3) if kind == "mlp" else (batch or 640, rate or 3e-4)
+        weights, trace = W.train(kind, start, (x, y), validation, epochs, patience, size, step, drop_rate, seed + fold.fold)
+        history += [{"model": kind, "fold": fold.fold, "training_rows": len(x), **t} for t in trace]
+        scored.append(W.score(parts["validation"].unionByName(parts["test"]), kind, weights, inputs, keep).withColumn("model", F.lit(kind)).select(*PREDICTED))
+    log = panel.sparkSession.createDataFrame(history, "model string, fold int, training_rows bigint, epoch int, train_loss double, validation_loss double, validation_mean_rank_ic double")
+    return _tables_of(_union(scored)) | {"training_history": log} | ({"endpoint_coverage": _union(coverage)} if coverage else {})
+
+
+def sequence_audit(panel: DataFrame, folds: Sequence[L.Fold], features: Sequence[str] = tuple(X.FEATURES), length: int = 128, interval_minutes: int = 5) -> Tables:
+    """Whether the panel is a full block for windows, and what endpoints each fold and split has."""
+    names = list(features)
+    parts = [E.endpoint_coverage(L.assign_folds(panel, [f]), length).withColumn("fold", F.lit(f.fold)) for f in folds]
+    return {"sequence_shape_violations": E.panel_shape_violations(panel, names, interval_minutes * MINUTE), "sequence_endpoint_metrics": _union(parts)}
 
 
-def ridge_ablations(panel: DataFrame, folds: Sequence[L.Fold], families: dict[str, Sequence[str]], alpha: float = 1.0) -> Tables:
-    """Ridge without each feature family: all variants from one Gram matrix per fold."""
+def ridge_ablations(panel: DataFrame, folds: Sequence[L.Fold], families: dict[str, Sequence[str]], alpha: float = 1.0) -> DataFrame:
+    """Test scores of ridge without each feature family: all variants from one Gram matrix per fold."""
     features = [f for members in families.values() for f in members]
     sets = M.leave_one_family_out(features, families)
     rows = L.assign_folds(panel, folds)
@@ -265,14 +362,36 @@ def ridge_ablations(panel: DataFrame, folds: Sequence[L.Fold], families: dict[st
     for r in M.gram_matrix(rows.where("split = 'train'"), features).collect():
         grams.setdefault(r["fold"], {})[r["a"], r["b"]] = r["value"]
     test = rows.where("split = 'test'")
-    scored = None
+    parts = []
     for variant, members in sets.items():
         fitted = {(fold, alpha): M.solve_ridge(g, members, alpha) for fold, g in grams.items()}
-        part = M.score_by_fold(test, fitted).withColumn("variant", F.lit(variant)).select("variant", "fold", "timestamp", "symbol", "target", "prediction")
-        scored = part if scored is None else scored.unionByName(part)
-    scored = scored.withColumn("model", F.lit("ridge"))
-    metrics = R.summarize_predictions(scored, ["model", "variant"])
-    return {"ablation_predictions": scored, "ablation_feature_summary": M.delta_vs_full(metrics, ["mean_rank_ic", "rmse"])}
+        parts.append(M.score_by_fold(test, fitted).withColumn("variant", F.lit(variant)).withColumn("model", F.lit("ridge")))
+    return _union(parts)
+
+
+def ablations(s: Study, families: dict[str, Sequence[str]], panel: DataFrame | None = None, alpha: float = 1.0, trees: int = 0, seed: int = 42) -> Tables:
+    """Ridge (and boosted trees, if ``trees`` > 0) without each feature family: prediction and portfolio side by (model, variant)."""
+    panel = panel if panel is not None else _panel(s)
+    keys, columns = ["model", "variant"], ["model", "variant", "fold", "timestamp", "symbol", "raw_target", "target", "prediction"]
+    parts = [ridge_ablations(panel, s.folds, families, alpha).select(*columns)]
+    if trees:
+        rows = L.assign_folds(panel, s.folds).where("split <> 'purged'")
+        features = [f for members in families.values() for f in members]
+        for variant, members in M.leave_one_family_out(features, families).items():
+            for f in s.folds:
+                scored = _boosted(rows, f.fold, members, seed, trees).where("split = 'test'")
+                parts.append(scored.withColumn("variant", F.lit(variant)).withColumn("model", F.lit("boosted_trees")).select(*columns))
+    scored = s.persisted(_union(parts))
+    metrics = R.summarize_predictions(scored, keys)
+    weighted = P.rank_weights(X.with_execution(scored, s.bars, s.holding), s.top, keys)
+    cohorts = P.cohort_metrics(P.portfolio_periods(weighted, s.interval, s.holding, keys), s.costs, s.annual, keys)
+    summary = C.sensitivity_break_even(cohorts, keys).join(C.focus_cost_returns(cohorts, s.focus, s.annual, keys), keys)
+    both = M.delta_vs_full(metrics, ["mean_rank_ic", "rmse"]).join(summary.withColumnRenamed("mean_turnover", "portfolio_mean_turnover"), keys)
+    return {
+        "ablation_predictions": scored, "ablation_feature_summary": M.delta_vs_full(metrics, ["mean_rank_ic", "rmse"]), "ablation_fold_metrics": R.summarize_predictions(scored, [*keys, "fold"]),
+        "ablation_portfolio_cohort_metrics": cohorts, "ablation_portfolio_summary": summary, "ablation_model_summary": both,
+        "ablation_cohort_differences": K.cohort_set_differences(cohorts, keys, 0.0, s.focus),
+    }
 
 
 def family_summary(oos: DataFrame, break_even: DataFrame, bootstrap: DataFrame, families: dict[str, str], references: Sequence[str] = ("reversal", "mlp")) -> DataFrame:
@@ -287,5 +406,16 @@ def family_summary(oos: DataFrame, break_even: DataFrame, bootstrap: DataFrame,
 
 ANALYSES = {
     f.__name__: f
-    for f in (evaluate_portfolios, null_tests, break_even_costs, rebalance_sensitivity, breadth_sensitivity, horizon_sensitivity, temporal_stability, symbol_dependence, market_regimes, bootstrap_uncertainty)
+    for f in (evaluate_portfolios, null_tests, break_even_costs, rebalance_sensitivity, breadth_sensitivity, horizon_sensitivity, temporal_stability, symbol_dependence, market_regimes, bootstrap_uncertainty, label_audit, ablations)
+}
+#: Analyses that read the panel.
+WITH_PANEL = {"label_audit", "ablations"}
+#: Analyses that make predictions from the panel.
+MODELS = ("baselines", "mlp", "tcn", "transformer")
+# The feature families that ablations leave out.
+FAMILIES = {
+    "returns": ["return_1", "return_3", "return_12", "return_48"],
+    "range_volatility": ["log_range", "close_open_return", "realized_vol_12", "realized_vol_48"],
+    "activity_flow": ["log_quote_volume", "volume_zscore_48", "trade_count_zscore_48", "taker_buy_ratio"],
+    "calendar": ["time_of_day_sin", "time_of_day_cos", "weekday_sin", "weekday_cos"],
 }

@@ -56,7 +56,11 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_grid(spark: SparkSession, d: str) -> DataFrame:
-    return _grid(spark, d).select("symbol", "slot", "readings", "missing", F.round("estimate", 9).alias("estimate"), F.round("support", 6).alias("support"), "status")
+    # Prices differ by orders of magnitude, so the estimate is shown to eight digits.
+    estimate = F.format_string("%.7e", "estimate").cast("double")
+    return _grid(spark, d).select(
+        "symbol", "slot", "readings", "missing", F.when(F.col("estimate").isNotNull(), estimate).alias("estimate"), F.round("support", 6).alias("support"), "status"
+    )
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_totals, p4_found, p4_bars, p5_found, p5_grid)}
@@ -121,4 +125,17 @@ ORACLE = {
       TRY_CAST(f[9] AS BIGINT) AS trade_count, CASE WHEN TRY_CAST(f[9] AS BIGINT) IS NULL THEN f[9] END AS trade_count_overflow FROM good""",
     "p5_found": f"""WITH {_READINGS} SELECT symbol, strftime(make_timestamp(slot * n * 60000000), '%Y-%m-%d %H:%M') AS slot
       FROM slots ANTI JOIN usable USING (symbol, slot)""",
+    "p5_grid": f"""WITH {_READINGS}, once AS (
+        SELECT m.symbol, epoch_us(m."timestamp") AS moment, arg_max(m.close, m.reading_id) AS y FROM market_bars m
+        WHERE isfinite(m.close) AND m.close > 0 AND m."timestamp" IS NOT NULL GROUP BY 1, 2),
+      stepped AS (SELECT o.*, s.step FROM once o JOIN (SELECT DISTINCT symbol, n * 60000000 AS step FROM slots) s USING (symbol)),
+      near AS (SELECT symbol, step, moment, y, unnest(generate_series(moment // step - 4, moment // step + 4)) AS slot FROM stepped),
+      weighed AS (SELECT symbol, slot, y, u, 0.75 * (1 - u * u) AS w FROM (SELECT *, (moment - slot * step) / (3.0 * step) AS u FROM near) WHERE abs(u) < 1),
+      sums AS (SELECT symbol, slot, sum(w) AS s0, sum(w * u) AS s1, sum(w * u * u) AS s2, sum(w * y) AS t0, sum(w * u * y) AS t1, sum(w * w) AS q FROM weighed GROUP BY 1, 2),
+      fitted AS (SELECT symbol, slot, s0 * s0 / q AS support, CASE WHEN s0 * s2 - s1 * s1 <= 1e-12 * s0 * s0 THEN t0 / s0 ELSE (s2 * t0 - s1 * t1) / (s0 * s2 - s1 * s1) END AS estimate FROM sums),
+      held AS (SELECT symbol, moment // step AS slot, count(*) AS readings FROM stepped GROUP BY 1, 2)
+      SELECT symbol, make_timestamp(slot * n * 60000000) AS slot, coalesce(readings, 0) AS readings, readings IS NULL AS missing,
+        CASE WHEN support >= 1.5 THEN printf('%.7e', estimate)::DOUBLE END AS estimate, round(coalesce(support, 0), 6) AS support,
+        CASE WHEN readings IS NOT NULL THEN 'observed' WHEN support >= 1.5 THEN 'filled' ELSE 'missing' END AS status
+      FROM slots LEFT JOIN fitted USING (symbol, slot) LEFT JOIN held USING (symbol, slot)""",
 }

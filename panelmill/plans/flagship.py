@@ -18,7 +18,7 @@ def evaluate(spark: SparkSession, d: str) -> DataFrame:
     bars = study.event_bars(spark, d)
     scored = bars.select("timestamp", "symbol", (-X.log_return(LOOKBACK, by_symbol())).alias("prediction")).where("prediction is not null")
     rows = scored.join(X.execution_returns(bars, HORIZON), ["timestamp", "symbol"]).withColumn("model", F.lit("reversal"))
-    periods = P.portfolio_periods(P.rank_weights(rows, TOP, ["model"]), DAY, HORIZON, ["model"])
+    periods = P.portfolio_periods(P.rank_weights(rows, TOP, ["model"], short="skip"), DAY, HORIZON, ["model"])
     return P.portfolio_summary(P.cohort_metrics(periods, [0.0, 1.0, 2.0, 5.0, 10.0], ANNUAL))
 
 
@@ -33,8 +33,7 @@ def _sql() -> str:
     from panelmill.plans import study_sql as Q
 
     w = "WINDOW w AS (PARTITION BY symbol ORDER BY us)"
-    periods = f"""SELECT model, cohort, us, sum(weight * execution_return) AS gross_return, sum(CASE WHEN us - us0 = {HORIZON * DAY} THEN abs(weight - w0) ELSE abs(weight) END) AS turnover FROM (
-      SELECT *, lag(us) OVER v AS us0, lag(weight) OVER v AS w0 FROM (SELECT *, ((us // {DAY}) % {HORIZON})::INT AS cohort FROM wts) WINDOW v AS (PARTITION BY model, cohort, symbol ORDER BY us)) GROUP BY model, cohort, us"""
+    periods = Q.periods("wts", "model", HORIZON, DAY)
     metrics = Q.cohort_metrics("per", "model").replace(f"* {Q._A}", f"* {ANNUAL}").replace(f"sqrt({Q._A})", f"sqrt({ANNUAL})")
     rounded = ", ".join(f"round({c}, 9) AS {c}" for c in _SUM)
     return f"""WITH eb AS (SELECT event_type AS symbol, epoch_us(ts) - epoch_us(ts) % {DAY} AS us, arg_min(value, [epoch_us(ts), event_id]) AS open, arg_max(value, [epoch_us(ts), event_id]) AS close FROM events WHERE value > 0 GROUP BY 1, 2),

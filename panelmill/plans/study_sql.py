@@ -43,15 +43,18 @@ def summary(source: str, keys: str) -> str:
 
 
 def weights(source: str, keys: str, k: str) -> str:
-    return f"""SELECT *, CASE WHEN n >= 2 * {k} THEN (CASE WHEN place <= {k} THEN -0.5 WHEN place > n - {k} THEN 0.5 ELSE 0 END) / {k} END AS weight FROM (
-      SELECT *, row_number() OVER (PARTITION BY {keys}, us ORDER BY prediction, symbol) AS place, count(*) OVER (PARTITION BY {keys}, us) AS n FROM {source})"""
+    return f"""SELECT *, (CASE WHEN place <= {k} THEN -0.5 WHEN place > n - {k} THEN 0.5 ELSE 0 END) / {k} AS weight FROM (
+      SELECT *, row_number() OVER (PARTITION BY {keys}, us ORDER BY prediction, symbol) AS place, count(*) OVER (PARTITION BY {keys}, us) AS n FROM {source}) WHERE n >= 2 * {k}"""
 
 
-def periods(source: str, keys: str, holding: int) -> str:
-    return f"""SELECT {keys}, cohort, us, sum(weight * execution_return) AS gross_return,
-      sum(CASE WHEN us - us0 = {holding * _W} THEN abs(weight - w0) ELSE abs(weight) END) AS turnover
-      FROM (SELECT *, lag(us) OVER w AS us0, lag(weight) OVER w AS w0 FROM (SELECT *, ((us // {_W}) % {holding})::INT AS cohort FROM {source})
-            WINDOW w AS (PARTITION BY {keys}, cohort, symbol ORDER BY us)) GROUP BY {keys}, cohort, us"""
+def periods(source: str, keys: str, holding: int, width: int = _W) -> str:
+    """A period's own weights and, with the other sign, those of the period before it."""
+    own = f"(SELECT *, ((us // {width}) % {holding})::INT AS cohort FROM {source})"
+    return f"""SELECT {keys}, cohort, us, sum(gain) AS gross_return, sum(abs(change)) AS turnover FROM (
+      SELECT {keys}, cohort, us, symbol, sum(gain) AS gain, sum(weight) AS change FROM (
+        SELECT {keys}, cohort, us, symbol, weight * execution_return AS gain, weight FROM {own}
+        UNION ALL SELECT {keys}, cohort, us + {holding * width}, symbol, 0, -weight FROM {own}) GROUP BY ALL)
+      SEMI JOIN {own} USING ({keys}, cohort, us) GROUP BY {keys}, cohort, us"""
 
 
 def cohort_metrics(source: str, keys: str, costs: str = _COSTS) -> str:
@@ -92,11 +95,12 @@ def temporal(source: str, keys: str, costs: str) -> str:
 
 
 _FOLD_ROWS = ", ".join(f"({f.fold}, TIMESTAMP '{f.train_end}', TIMESTAMP '{f.validation_end}', TIMESTAMP '{f.test_end}')" for f in study.FOLDS)
+_TOPS = ", ".join(f"({k})" for k in study.BREADTHS)
 _STATE_COLS = ["market_return", "market_realized_volatility", "cross_sectional_dispersion"]
 
 #: The chain; unused members cost nothing.
 STEPS = f"""
-  ticks AS (SELECT l_returnflag || l_linestatus AS symbol, epoch_us(l_shipdate) AS tick_us, l_extendedprice / l_quantity AS p, l_quantity AS q, l_discount < 0.05 AS taker,
+  ticks AS (SELECT 'S' || lpad((l_suppkey // {study.SUPPLIERS})::VARCHAR, 7, '0') AS symbol, epoch_us(l_shipdate) AS tick_us, l_extendedprice / l_quantity AS p, l_quantity AS q, l_discount < 0.05 AS taker,
     [epoch_us(l_shipdate)::DOUBLE, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice] AS o FROM lineitem),
   pb AS (SELECT symbol, tick_us - (tick_us - {_M}) % {_W} AS us, arg_min(p, o) AS open, max(p) AS high, min(p) AS low, arg_max(p, o) AS close, sum(q) AS volume, sum(p * q) AS quote_volume,
     count(*) AS trade_count, coalesce(sum(q) FILTER (WHERE taker), 0) AS taker_buy_volume, coalesce(sum(p * q) FILTER (WHERE taker), 0) AS taker_buy_quote_volume FROM ticks GROUP BY 1, 2),
@@ -105,9 +109,9 @@ STEPS = f"""
     ln(1 + quote_volume) AS log_quote_volume, ln(1 + volume) AS lv, ln(1 + trade_count) AS lt, coalesce(CASE WHEN quote_volume > 0 THEN taker_buy_quote_volume / quote_volume END, 0.5) AS taker_buy_ratio
     FROM pb WINDOW w AS (PARTITION BY symbol ORDER BY us)),
   feat AS (SELECT *, {_full(12, 'stddev_pop', 'return_1')} * sqrt(12.0) AS realized_vol_12, {_full(48, 'stddev_pop', 'return_1')} * sqrt(48.0) AS realized_vol_48,
-    {_z('lv', 48)} AS volume_zscore_48, {_z('lt', 48)} AS trades_zscore_48,
-    sin(2 * pi() * (hour("timestamp") * 60 + minute("timestamp")) / 1440) AS sin_time, cos(2 * pi() * (hour("timestamp") * 60 + minute("timestamp")) / 1440) AS cos_time,
-    sin(2 * pi() * (isodow("timestamp") - 1) / 7) AS sin_weekday, cos(2 * pi() * (isodow("timestamp") - 1) / 7) AS cos_weekday FROM f0),
+    {_z('lv', 48)} AS volume_zscore_48, {_z('lt', 48)} AS trade_count_zscore_48,
+    sin(2 * pi() * (hour("timestamp") * 60 + minute("timestamp")) / 1440) AS time_of_day_sin, cos(2 * pi() * (hour("timestamp") * 60 + minute("timestamp")) / 1440) AS time_of_day_cos,
+    sin(2 * pi() * (isodow("timestamp") - 1) / 7) AS weekday_sin, cos(2 * pi() * (isodow("timestamp") - 1) / 7) AS weekday_cos FROM f0),
   lab0 AS (SELECT *, CASE WHEN lead(us, {_H}) OVER w - us = {_H * _W} THEN lead(us, {_H}) OVER w END AS end_us,
     CASE WHEN lead(us, {_H}) OVER w - us = {_H * _W} THEN ln(lead(close, {_H}) OVER w / close) END AS raw_target FROM feat WINDOW w AS (PARTITION BY symbol ORDER BY us)),
   lab AS (SELECT *, make_timestamp(end_us) AS label_end_timestamp, raw_target - avg(raw_target) OVER (PARTITION BY us) AS target FROM lab0),
@@ -120,26 +124,26 @@ STEPS = f"""
     FROM split, (VALUES ('momentum', 1.0), ('reversal', -1.0)) m(model, s) WHERE split = 'test'),
   execr AS (SELECT * FROM (SELECT symbol, us, ln(lead(close, {_H}) OVER w / lead(open, 1) OVER w) AS execution_return FROM pb WINDOW w AS (PARTITION BY symbol ORDER BY us)) WHERE execution_return IS NOT NULL),
   joined AS (SELECT * FROM pred JOIN execr USING (symbol, us)),
-  wts AS ({weights('joined', 'model', '1')}),
+  wts AS ({weights('joined', 'model', str(study.TOP))}),
   per AS ({periods('wts', 'model', _H)}),
   coh AS ({cohort_metrics('per', 'model')}),
   becoh AS (SELECT model, cohort, period_count, mean_net_return AS gross_mean_return, mean_turnover, cumulative_net_log_return AS gross_cumulative_log_return,
     mean_net_return * {_A} AS gross_annualized_return, mean_turnover * period_count AS total_turnover,
     cumulative_net_log_return / nullif(mean_turnover * period_count, 0) * 10000 AS break_even_cost_bps, cumulative_net_log_return > 0 AS positive_at_zero_cost FROM coh WHERE cost_bps = 0),
   dated AS (SELECT per.*, fold, strftime(make_timestamp(us), '%Y-%m') AS "month" FROM per JOIN (SELECT DISTINCT us, fold FROM pred) USING (us)),
-  bwts AS ({weights('(SELECT * FROM joined, (VALUES (1), (2), (3)) b(top_count))', 'model, top_count', 'top_count')}),
-  bcoh AS ({cohort_metrics('(' + periods('(SELECT * FROM bwts WHERE weight IS NOT NULL)', 'model, top_count', _H) + ')', 'model, top_count')}),
+  bwts AS ({weights(f'(SELECT * FROM joined, (VALUES {_TOPS}) b(top_count))', 'model, top_count', 'top_count')}),
+  bcoh AS ({cohort_metrics('(' + periods('bwts', 'model, top_count', _H) + ')', 'model, top_count')}),
   href AS (SELECT * FROM ({' UNION ALL '.join(f'''SELECT symbol, us, {h} AS horizon_bars, lead(us, {h}) OVER w AS end_us, ln(lead(close, {h}) OVER w / close) AS raw_target,
-      ln(lead(close, {h}) OVER w / lead(open, 1) OVER w) AS execution_return FROM pb WINDOW w AS (PARTITION BY symbol ORDER BY us)''' for h in (3, 6, 12))}) WHERE end_us - us = horizon_bars * {_W}),
+      ln(lead(close, {h}) OVER w / lead(open, 1) OVER w) AS execution_return FROM pb WINDOW w AS (PARTITION BY symbol ORDER BY us)''' for h in study.HORIZONS)}) WHERE end_us - us = horizon_bars * {_W}),
   htar AS (SELECT *, raw_target - avg(raw_target) OVER (PARTITION BY horizon_bars, us) AS target FROM href),
   hjoin AS (SELECT p.model, p.fold, p.us, p.symbol, p.prediction, h.horizon_bars, h.raw_target, h.target, h.execution_return
     FROM pred p JOIN htar h USING (symbol, us) JOIN folds USING (fold) WHERE make_timestamp(h.end_us) <= test_end),
-  hper AS ({' UNION ALL '.join('SELECT * FROM (' + periods('(' + weights(f'(SELECT * FROM hjoin WHERE horizon_bars = {h})', 'model, horizon_bars', '1') + ')', 'model, horizon_bars', h) + ')' for h in (3, 6, 12))}),
+  hper AS ({' UNION ALL '.join('SELECT * FROM (' + periods('(' + weights(f'(SELECT * FROM hjoin WHERE horizon_bars = {h})', 'model, horizon_bars', str(study.TOP)) + ')', 'model, horizon_bars', h) + ')' for h in study.HORIZONS)}),
   hcoh AS ({cohort_metrics('hper', 'model, horizon_bars')}),
   syms AS (SELECT DISTINCT symbol AS excluded_symbol FROM pb),
   xjoin AS (SELECT * FROM joined, syms WHERE symbol <> excluded_symbol),
   xpred AS (SELECT * FROM pred, syms WHERE symbol <> excluded_symbol),
-  xcoh AS ({cohort_metrics('(' + periods('(' + weights('xjoin', 'model, excluded_symbol', '1') + ')', 'model, excluded_symbol', _H) + ')', 'model, excluded_symbol')}),
+  xcoh AS ({cohort_metrics('(' + periods('(' + weights('xjoin', 'model, excluded_symbol', str(study.TOP)) + ')', 'model, excluded_symbol', _H) + ')', 'model, excluded_symbol')}),
   xic AS (SELECT * FROM ({summary('xpred', 'model, excluded_symbol')}) JOIN (SELECT model, mean_rank_ic AS full_mean_rank_ic FROM ({summary('pred', 'model')})) USING (model)),
   contrib0 AS (SELECT model, symbol, count(*) AS timestamp_count, count(*) FILTER (WHERE weight > 0) AS long_selection_count, count(*) FILTER (WHERE weight < 0) AS short_selection_count,
     count(*) FILTER (WHERE weight <> 0) AS active_selection_count, avg((weight > 0)::INT) AS long_selection_fraction, avg((weight < 0)::INT) AS short_selection_fraction,

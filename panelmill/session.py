@@ -6,10 +6,11 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings that change results or plans; everything else is left to the cluster.
 BASE_CONF = {
@@ -58,11 +59,36 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
+_WRITTEN: list[str] = []
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """The rows as a parquet table in the shared checkpoint folder: later plans start from it, and a lost executor costs no recomputation.
+
+    The table stays until ``drop_written``.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/panelmill/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _WRITTEN.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_written(spark: SparkSession) -> int:
+    """Delete the tables that ``written`` made in this process; how many there were."""
+    n = len(_WRITTEN)
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the session; a temporary one only where none is set (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None) or os.environ.get("PANELMILL_CHECKPOINT_DIR")
     if not named:
         named = tempfile.mkdtemp(prefix="panelmill-ckpt-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", named)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named)

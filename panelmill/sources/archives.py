@@ -1,185 +1,166 @@
-"""Archives of kline files: names, months, checksums, safe extraction, a local mirror as the remote side.
+"""Archives of kline files as tables: a plan of what should be there, one pass that brings it in, what came of it.
 
-These are driver-side file operations on single archives; the Spark side (planning the cross product,
-hashing many files) is at the end.
+The plan has one row per symbol and month.  ``bring_in`` maps its rows on the executors: each task reads
+an archive and its checksum file (from a mirror folder or over HTTP), puts them through a table of
+rules, and writes the CSV it holds to the shared raw folder.  The outcome is a table again: a row with
+either the file and its hash, or the first rule that was broken.
 """
 
 from __future__ import annotations
 
 import hashlib
-import json
+import io
 import os
 import re
-import shutil
+import time
+import urllib.error
+import urllib.request
+import uuid
 import zipfile
-from collections.abc import Iterable, Iterator
-from dataclasses import asdict, dataclass
-from pathlib import Path, PurePosixPath
+import zlib
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
+from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK = 1 << 20
+from panelmill.sources.sinks import write_manifest
 
+#: Seconds and attempts for one file over HTTP.
+PATIENCE, ATTEMPTS = 60, 3
+OUTCOME = "symbol string, interval string, month string, archive string, bytes bigint, sha256 string, csv string, csv_lines bigint, problem string"
 
-@dataclass(frozen=True, order=True)
-class ArchiveSpec:
-    """One month of one symbol."""
 
-    symbol: str
-    interval: str
-    month: str
-
-    @property
-    def filename(self) -> str:
-        return f"{self.symbol}-{self.interval}-{self.month}.zip"
-
-    @property
-    def checksum_name(self) -> str:
-        return self.filename + ".CHECKSUM"
-
-    def location(self, root: str) -> str:
-        return f"{root.rstrip('/')}/{self.symbol}/{self.interval}/{self.filename}"
-
-
-@dataclass(frozen=True)
-class ArchiveRecord:
-    symbol: str
-    interval: str
-    month: str
-    archive: str
-    sha256: str
-    csv: str
-    csv_lines: int
-
-
-def months(start: str, end: str) -> Iterator[str]:
+def months(start: str, end: str) -> list[str]:
     """``YYYY-MM`` from start to end, both included."""
-
-    def number(text: str) -> int:
+    for text in (start, end):
         if not re.fullmatch(r"\d{4}-(0[1-9]|1[0-2])", text):
             raise ValueError(f"not a month: {text!r}")
-        return int(text[:4]) * 12 + int(text[5:]) - 1
-
-    first, last = number(start), number(end)
-    if last < first:
+    span = [str(p) for p in pd.period_range(start, end, freq="M")]
+    if not span:
         raise ValueError("the last month lies before the first")
-    for n in range(first, last + 1):
-        yield f"{n // 12:04d}-{n % 12 + 1:02d}"
+    return span
 
 
-def sha256_file(path: str | Path) -> str:
-    digest = hashlib.sha256()
-    with open(path, "rb") as f:
-        while block := f.read(CHUNK):
-            digest.update(block)
-    return digest.hexdigest()
-
-
-def parse_checksum(text: str) -> str:
-    """The hash in a checksum file: its first word, 64 hexadecimal digits."""
-    words = text.split()
-    value = words[0].lower() if words else ""
-    if not re.fullmatch("[0-9a-f]{64}", value):
-        raise ValueError("checksum file holds no SHA-256")
-    return value
-
-
-def verify_archive(archive: str | Path, checksum: str | Path) -> str:
-    want, got = parse_checksum(Path(checksum).read_text()), sha256_file(archive)
-    if want != got:
-        raise ValueError(f"{archive}: SHA-256 is {got}, published is {want}")
-    return got
+def archive_plan(symbols: DataFrame, interval: str, start: str, end: str) -> DataFrame:
+    """Every (symbol, month) with the names of its archive and checksum file; ``symbols`` is any table with ``symbol``."""
+    wanted = F.explode(F.array(*[F.lit(m) for m in months(start, end)]))
+    rows = symbols.select("symbol").where("symbol is not null").distinct().select("symbol", wanted.alias("month"))
+    name = F.concat_ws("-", "symbol", F.lit(interval), "month")
+    return rows.select("symbol", "month", F.concat(name, F.lit(".zip")).alias("filename"), F.concat(name, F.lit(".zip.CHECKSUM")).alias("checksum_name"))
 
 
-def fetch(location: str, destination: str | Path) -> Path:
-    """Copy from the mirror unless a non-empty file is there; a partial copy never takes the final name."""
-    target = Path(destination)
-    if target.exists() and target.stat().st_size:
-        return target
-    if not os.path.exists(location):
-        raise FileNotFoundError(location)
-    target.parent.mkdir(parents=True, exist_ok=True)
-    part = target.with_name(target.name + ".part")
-    try:
-        with open(location, "rb") as source, open(part, "wb") as sink:
-            shutil.copyfileobj(source, sink, CHUNK)
-        os.replace(part, target)
-    finally:
-        part.unlink(missing_ok=True)
-    return target
-
-
-def extract_single_csv(archive: str | Path, folder: str | Path) -> Path:
-    """The archive's only member, a CSV without a path that leads elsewhere; done before, it is kept."""
-    with zipfile.ZipFile(archive) as z:
-        if (bad := z.testzip()) is not None:
-            raise ValueError(f"{archive}: damaged member {bad}")
-        members = [m for m in z.infolist() if not m.is_dir()]
-        if len(members) != 1:
-            raise ValueError(f"{archive}: {len(members)} members, expected one")
-        name = PurePosixPath(members[0].filename)
-        if name.is_absolute() or ".." in name.parts or "\\" in str(name):
-            raise ValueError(f"{archive}: unsafe path {name}")
-        if name.suffix.lower() != ".csv":
-            raise ValueError(f"{archive}: {name} is no CSV")
-        target = Path(folder) / name.name
-        if target.exists() and target.stat().st_size == members[0].file_size:
-            return target
-        target.parent.mkdir(parents=True, exist_ok=True)
-        part = target.with_name(target.name + ".part")
+def fetch(location: str) -> bytes | None:
+    """The bytes at a path or an HTTP address; None where there is nothing."""
+    if not re.match("https?://", location):
+        return Path(location).read_bytes() if os.path.isfile(location) else None
+    for attempt in range(ATTEMPTS):
         try:
-            with z.open(members[0]) as source, open(part, "wb") as sink:
-                shutil.copyfileobj(source, sink, CHUNK)
-            os.replace(part, target)
-        finally:
-            part.unlink(missing_ok=True)
-    return target
-
-
-def count_lines(path: str | Path) -> int:
-    with open(path, "rb") as f:
-        return sum(1 for _ in f)
-
-
-def ingest_archive(spec: ArchiveSpec, mirror: str, raw: str | Path) -> ArchiveRecord:
-    """Fetch, verify and extract one archive."""
-    where, folder = spec.location(mirror), Path(raw) / spec.symbol / spec.month
-    archive, checksum = fetch(where, folder / spec.filename), fetch(where + ".CHECKSUM", folder / spec.checksum_name)
-    digest = verify_archive(archive, checksum)
-    csv = extract_single_csv(archive, folder)
-    return ArchiveRecord(spec.symbol, spec.interval, spec.month, str(archive), digest, str(csv), count_lines(csv))
-
-
-def write_archive_manifest(records: Iterable[ArchiveRecord], path: str | Path) -> None:
-    rows = sorted((asdict(r) for r in records), key=lambda r: (r["symbol"], r["interval"], r["month"]))
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps({"archives": rows, "count": len(rows)}, indent=2, sort_keys=True) + "\n", newline="\n")
-
-
-def ingest_dataset(
-    symbols: list[str], interval: str, start: str, end: str, mirror: str, raw: str | Path, manifest: str | Path, only_symbol: str | None = None, only_month: str | None = None
-) -> list[ArchiveRecord]:
-    """All symbols and months, or one of either; the manifest is rewritten after each archive, so an interrupted run leaves what it has."""
-    records: list[ArchiveRecord] = []
-    for symbol in symbols:
-        for month in months(start, end):
-            if (only_symbol in (None, symbol)) and (only_month in (None, month)):
-                records.append(ingest_archive(ArchiveSpec(symbol, interval, month), mirror, raw))
-                write_archive_manifest(records, manifest)
-    return records
-
-
-def archive_plan(spark: SparkSession, symbols: list[str], interval: str, start: str, end: str) -> DataFrame:
-    """Every (symbol, month) with its file names, as a table."""
-    month = F.explode(F.sequence(F.lit(start + "-01").cast("date"), F.lit(end + "-01").cast("date"), F.expr("interval 1 month")))
-    name = F.concat_ws("-", "symbol", F.lit(interval), "month")
-    return (
-        spark.createDataFrame([(s,) for s in symbols], "symbol string")
-        .select("symbol", month.alias("first"))
-        .select("symbol", F.date_format("first", "yyyy-MM").alias("month"))
-        .select("symbol", "month", F.concat(name, F.lit(".zip")).alias("filename"), F.concat(name, F.lit(".zip.CHECKSUM")).alias("checksum_name"))
-    )
+            with urllib.request.urlopen(location, timeout=PATIENCE) as answer:
+                return answer.read()
+        except urllib.error.HTTPError as e:
+            if e.code in (403, 404, 410):
+                return None
+            problem: Exception = e
+        except OSError as e:
+            problem = e
+        time.sleep(2**attempt)
+    raise problem
+
+
+@dataclass
+class Parcel:
+    """What is known of one archive while the rules are tried."""
+
+    archive: bytes | None
+    checksum: bytes | None
+    sha256: str = ""
+    members: list[zipfile.ZipInfo] = field(default_factory=list)
+    content: bytes = b""
+
+    def published(self) -> str:
+        words = (self.checksum or b"").decode("ascii", "replace").split()
+        return words[0].lower() if words else ""
+
+    def hashed(self) -> str:
+        self.sha256 = hashlib.sha256(self.archive or b"").hexdigest()
+        return self.sha256
+
+    def opened(self) -> bool:
+        try:
+            with zipfile.ZipFile(io.BytesIO(self.archive or b"")) as z:
+                self.members = [m for m in z.infolist() if not m.is_dir()]
+                self.content = z.read(self.members[0]) if len(self.members) == 1 else b""  # the CRC is checked on the way
+        except (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, RuntimeError):
+            return False
+        return True
+
+    def leads_elsewhere(self) -> bool:
+        return bool(re.search(r"^([/\\]|[A-Za-z]:)|(^|[/\\])\.\.([/\\]|$)|\\", self.members[0].filename))
+
+
+#: The rules in the order in which they are tried; a rule is broken where its test holds.
+RULES: list[tuple[str, Callable[[Parcel], bool]]] = [
+    ("no archive", lambda p: p.archive is None),
+    ("no checksum file", lambda p: p.checksum is None),
+    ("checksum file without a SHA-256", lambda p: not re.fullmatch("[0-9a-f]{64}", p.published())),
+    ("SHA-256 is not the published one", lambda p: p.hashed() != p.published()),
+    ("archive is damaged", lambda p: not p.opened()),
+    ("archive has not exactly one member", lambda p: len(p.members) != 1),
+    ("member's path leads elsewhere", Parcel.leads_elsewhere),
+    ("member is no CSV", lambda p: not p.members[0].filename.lower().endswith(".csv")),
+]
+
+
+def first_broken(parcel: Parcel) -> str | None:
+    return next((name for name, broken in RULES if broken(parcel)), None)
+
+
+def store(content: bytes, target: Path) -> None:
+    """Whole or not at all; a file of the same size is the same file, brought in before."""
+    if target.exists() and target.stat().st_size == len(content):
+        return
+    target.parent.mkdir(parents=True, exist_ok=True)
+    part = target.with_name(f"{target.name}.{uuid.uuid4().hex}.part")
+    part.write_bytes(content)
+    os.replace(part, target)
+
+
+def bring_in(plan: DataFrame, interval: str, mirror: str, raw: str) -> DataFrame:
+    """One row per planned archive: its CSV under ``raw`` with hash and line count, or the rule it breaks as ``problem``.
+
+    ``mirror`` is a folder or an HTTP address that holds SYMBOL/INTERVAL/NAME; ``raw`` a folder that
+    all workers share.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            out = []
+            for row in pdf.itertuples(index=False):
+                where = f"{mirror.rstrip('/')}/{row.symbol}/{interval}/"
+                parcel = Parcel(fetch(where + row.filename), fetch(where + row.checksum_name))
+                problem, csv, n = first_broken(parcel), None, None
+                if problem is None:
+                    target = Path(raw) / row.symbol / row.month / Path(parcel.members[0].filename).name
+                    store(parcel.content, target)
+                    csv, n = str(target), parcel.content.count(b"\n") + (not parcel.content.endswith(b"\n") and bool(parcel.content))
+                out.append((row.symbol, interval, row.month, where + row.filename, len(parcel.archive or b""), parcel.sha256 or None, csv, n, problem))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTCOME.split(", ")]).astype({"csv_lines": "Int64"})
+
+    tasks = plan.sparkSession.sparkContext.defaultParallelism
+    return plan.repartition(4 * tasks, "symbol", "month").mapInPandas(run, OUTCOME)
+
+
+def ingest(plan: DataFrame, interval: str, mirror: str, raw: str, manifest: str | Path) -> list[dict]:
+    """Bring in what the plan asks for and write the manifest of what came; anything that did not is an error, after the manifest is written."""
+    rows = [r.asDict() for r in bring_in(plan, interval, mirror, raw).orderBy("symbol", "month").collect()]
+    good = [{k: v for k, v in r.items() if k != "problem"} for r in rows if r["problem"] is None]
+    write_manifest({"archives": good, "count": len(good)}, manifest)
+    if bad := {f"{r['symbol']} {r['month']}": r["problem"] for r in rows if r["problem"]}:
+        raise ValueError(f"{len(bad)} of {len(rows)} archives were not brought in: {dict(list(bad.items())[:20])}")
+    return good
 
 
 def file_hashes(spark: SparkSession, *paths: str) -> DataFrame:

@@ -21,7 +21,9 @@ _TEXT = T.StructType([T.StructField(c, T.StringType()) for c in KLINE_FIELDS] +
 def scan_klines(spark: SparkSession, *paths: str) -> DataFrame:
     """All fields as text with ``file``; nothing is cast or dropped yet."""
     rows = spark.read.schema(_TEXT).option("columnNameOfCorruptRecord", "broken").option("recursiveFileLookup", "true").csv(list(paths))
-    return rows.select("*", F.col("_metadata.file_path").alias("file"))
+    # Rows of a file's first block are read in order, so its first row has the least of their numbers.
+    first = F.when(F.col("_metadata.file_block_start") == 0, F.monotonically_increasing_id())
+    return rows.select("*", F.col("_metadata.file_path").alias("file"), first.alias("number"))
 
 
 def _unit_factor() -> Column:
@@ -31,7 +33,7 @@ def _unit_factor() -> Column:
 def read_klines(spark: SparkSession, *paths: str, symbol_pattern: str = r"([A-Z0-9]+)-[^/]*\.csv$") -> DataFrame:
     """Typed bars of the files, the symbol from the file name.
 
-    A file may have one header line; any other line whose fields are missing or not numbers raises, as
+    A file may have a header as its first line; any other line whose fields are missing or not numbers raises, as
     does a file whose open and close times differ in unit.  The unit is that of the file's median.
     """
     rows = scan_klines(spark, *paths)
@@ -39,6 +41,7 @@ def read_klines(spark: SparkSession, *paths: str, symbol_pattern: str = r"([A-Z0
     header = F.coalesce(first == "open_time", F.lit(False))
     typed = rows.select(
         "file",
+        "number",
         header.alias("header"),
         *[F.col(c).try_cast("bigint").alias(c) for c in ("open_time", "close_time", "trade_count")],
         *[F.col(c).try_cast("double").alias(c) for c in ("open", "high", "low", "close", "volume", "quote_volume", "taker_buy_volume", "taker_buy_quote_volume")],
@@ -51,11 +54,12 @@ def read_klines(spark: SparkSession, *paths: str, symbol_pattern: str = r"([A-Z0
     data = ~F.col("header")
     files = typed.groupBy("file").agg(
         F.count_if(F.col("header")).alias("headers"),
+        F.coalesce(F.min_by("header", F.when(F.col("number").isNotNull(), F.col("number"))), F.lit(False)).alias("on_top"),
         F.count_if(data & bad).alias("bad"),
         F.percentile(F.when(data, F.col("open_time")), 0.5).alias("median"),
         F.percentile(F.when(data, F.col("close_time")), 0.5).alias("close_median"),
     )
-    wrong = files.where((F.col("headers") > 1) | (F.col("bad") > 0) | ((F.col("median") >= MICROSECONDS_FROM) != (F.col("close_median") >= MICROSECONDS_FROM))).limit(5).collect()
+    wrong = files.where((F.col("headers") > F.col("on_top").cast("int")) | (F.col("bad") > 0) | ((F.col("median") >= MICROSECONDS_FROM) != (F.col("close_median") >= MICROSECONDS_FROM))).limit(5).collect()
     if wrong:
         raise ValueError(f"unreadable kline files: {[r.asDict() for r in wrong]}")
     units = files.select("file", _unit_factor().alias("factor"))
@@ -68,12 +72,19 @@ def read_klines(spark: SparkSession, *paths: str, symbol_pattern: str = r"([A-Z0
     )
 
 
-def check_months(paths: Iterable[str], expected: Iterable[str]) -> None:
-    """The months in the file names must be the expected ones."""
-    found = {m[0] for p in paths if (m := re.search(r"\d{4}-\d{2}(?=[^/]*$)", p))}
-    missing, unexpected = sorted(set(expected) - found), sorted(found - set(expected))
-    if missing or unexpected:
-        raise ValueError(f"months missing: {missing}, unexpected: {unexpected}")
+def check_months(paths: Iterable[str], expected: Iterable[str], symbol_pattern: str = r"([A-Z0-9]+)-[^/]*\.csv$") -> None:
+    """Each symbol's files, by their names, must cover the expected months and no others."""
+    months: dict[str, set[str]] = {}
+    for p in paths:
+        named, month = re.search(symbol_pattern, p), re.search(r"\d{4}-\d{2}(?=[^/]*$)", p)
+        if named and month:
+            months.setdefault(named[1], set()).add(month[0])
+    wanted = set(expected)
+    wrong = {s: (sorted(wanted - found), sorted(found - wanted)) for s, found in sorted(months.items()) if found != wanted}
+    if not months and wanted:
+        raise ValueError(f"months missing: {sorted(wanted)}, no files")
+    if wrong:
+        raise ValueError("; ".join(f"{s}: months missing: {a}, unexpected: {b}" for s, (a, b) in wrong.items()))
 
 
 def normalize(spark: SparkSession, paths: list[str], interval: int) -> DataFrame:

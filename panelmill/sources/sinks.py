@@ -8,7 +8,7 @@ import os
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Evidence tables are summaries; one that is larger than this is refused, not truncated.
@@ -26,9 +26,31 @@ def write_panel(panel: DataFrame, path: str, rows_per_file: int = 2_000_000, mod
     panel.write.mode(mode).option("compression", "zstd").option("maxRecordsPerFile", rows_per_file).parquet(path)
 
 
-def write_predictions(predictions: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Predictions by model, fold and split: later reads prune to what they need."""
+def write_predictions(predictions: DataFrame, path: str, mode: str = "overwrite") -> dict[str, Any]:
+    """Predictions by model, fold and split: later reads prune to what they need.  The record has rows per partition and one hash over the files."""
     predictions.write.mode(mode).option("compression", "zstd").partitionBy("model", "fold", "split").parquet(path)
+    spark = predictions.sparkSession
+    counts = spark.read.parquet(path).groupBy("model", "fold", "split").agg(F.count("*").alias("rows"))
+    rows = [r.asDict() for r in counts.orderBy("model", "fold", "split").collect()]
+    return {"path": path, "rows": sum(r["rows"] for r in rows), "partitions": rows, "sha256": folder_digest(spark, path)}
+
+
+def folder_digest(spark: SparkSession, path: str) -> str:
+    """One hash over names and contents of the parquet files under ``path``, hashed on the executors."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
+    lines = files.select(F.concat_ws(" ", F.sha2("content", 256), F.regexp_extract("path", "[^/]+$", 0)).alias("line"))
+    return lines.agg(F.sha2(F.array_join(F.sort_array(F.collect_list("line")), "\n"), 256)).first()[0]
+
+
+def normalized_manifest(bars: DataFrame, interval_minutes: int, source: str | Path | None = None) -> dict[str, Any]:
+    """Rows and span of each symbol's bars in symbol order, their total, and the hash of the download manifest they came from."""
+    held = bars.groupBy("symbol").agg(F.count("*").alias("rows"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last")).orderBy("symbol").collect()
+    out = {
+        "interval_minutes": interval_minutes,
+        "symbols": [{"symbol": r["symbol"], "rows": r["rows"], "first_timestamp": str(r["first"]), "last_timestamp": str(r["last"])} for r in held],
+        "total_rows": sum(r["rows"] for r in held),
+    }
+    return out | ({"source": str(source), "source_sha256": hashlib.sha256(Path(source).read_bytes()).hexdigest()} if source and Path(source).is_file() else {})
 
 
 def write_evidence(df: DataFrame, path: str | Path) -> Path:
@@ -74,11 +96,13 @@ def run_manifest(stage: str, config: str | Path | None, sources: list[str | Path
     }
 
 
-def panel_manifest(panel: DataFrame, folds: DataFrame | None = None) -> dict[str, Any]:
-    """Rows, timestamps, range and rows by symbol of a panel, and its fold summary: two aggregations."""
+def panel_manifest(panel: DataFrame, folds: DataFrame | None = None, sources: dict[str, str] | None = None) -> dict[str, Any]:
+    """Rows, timestamps, range and rows by symbol of a panel, its fold summary, and the hash of each source folder (name -> path)."""
     whole = panel.agg(F.count("*").alias("rows"), F.countDistinct("timestamp").alias("timestamps"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last")).first()
     by = {r["symbol"]: r["count"] for r in panel.groupBy("symbol").count().collect()}
     out = {"row_count": whole["rows"], "timestamp_count": whole["timestamps"], "first_timestamp": str(whole["first"]), "last_timestamp": str(whole["last"]), "rows_by_symbol": by}
+    if sources:
+        out["source_files"] = {path: folder_digest(panel.sparkSession, path) for path in sources.values()}
     return out | ({"folds": [r.asDict() for r in folds.orderBy("fold").collect()]} if folds is not None else {})
 
 

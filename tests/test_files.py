@@ -33,33 +33,68 @@ def test_months():
             list(R.months(*bad))
 
 
+def zipped(path, members):
+    path.parent.mkdir(parents=True, exist_ok=True)
+    with zipfile.ZipFile(path, "w") as z:
+        for k, v in members.items():
+            z.writestr(k, v)
+    digest = hashlib.sha256(path.read_bytes()).hexdigest()
+    path.with_name(path.name + ".CHECKSUM").write_text(f"{digest.upper()}  {path.name}\n")
+    return digest
+
+
 def test_archives(spark, tmp_path):
-    spec = R.ArchiveSpec("AAA", "5m", "2025-01")
-    where = tmp_path / "mirror/AAA/5m"
-    where.mkdir(parents=True)
-    with zipfile.ZipFile(where / spec.filename, "w") as z:
-        z.writestr("AAA-5m-2025-01.csv", "\n".join(lines()) + "\n")
-    digest = hashlib.sha256((where / spec.filename).read_bytes()).hexdigest()
-    (where / spec.checksum_name).write_text(f"{digest.upper()}  {spec.filename}\n")
-    out = R.ingest_dataset(["AAA"], "5m", "2025-01", "2025-01", str(tmp_path / "mirror"), tmp_path / "raw", tmp_path / "m.json")
-    assert out[0].csv_lines == 3 and json.loads((tmp_path / "m.json").read_text())["count"] == 1
-    assert R.ingest_archive(spec, str(tmp_path / "mirror"), tmp_path / "raw") == out[0]
-    with pytest.raises(FileNotFoundError):
-        R.ingest_dataset(["AAA"], "5m", "2025-01", "2025-02", str(tmp_path / "mirror"), tmp_path / "raw", tmp_path / "m.json")
-    (tmp_path / "raw/AAA/2025-01" / spec.checksum_name).write_text("0" * 64)
-    with pytest.raises(ValueError, match="published"):
-        R.ingest_archive(spec, str(tmp_path / "mirror"), tmp_path / "raw")
-    for members, word in (({"../x.csv": ""}, "unsafe"), ({"a.csv": "", "b.csv": ""}, "members"), ({"a.txt": ""}, "no CSV")):
-        with zipfile.ZipFile(tmp_path / "bad.zip", "w") as z:
-            for k, v in members.items():
-                z.writestr(k, v)
-        with pytest.raises(ValueError, match=word):
-            R.extract_single_csv(tmp_path / "bad.zip", tmp_path / "x")
-    with pytest.raises(ValueError):
-        R.parse_checksum("nothing")
-    assert R.archive_plan(spark, ["A", "B"], "5m", "2025-11", "2026-01").count() == 6
-    hashed = R.file_hashes(spark, str(where)).collect()
-    assert digest in {r["sha256"] for r in hashed}
+    text = "\n".join(lines()) + "\n"
+    mirror = tmp_path / "mirror"
+    digest = zipped(mirror / "AAA/5m/AAA-5m-2025-01.zip", {"AAA-5m-2025-01.csv": text})
+    symbols = spark.createDataFrame([("AAA",), ("AAA",), (None,)], "symbol string")
+    plan = R.archive_plan(symbols, "5m", "2025-01", "2025-01")
+    for _ in range(2):  # a second time changes nothing
+        out = R.ingest(plan, "5m", str(mirror), str(tmp_path / "raw"), tmp_path / "m.json")
+        assert out[0]["csv_lines"] == 3 and out[0]["sha256"] == digest and (tmp_path / "raw/AAA/2025-01/AAA-5m-2025-01.csv").read_text() == text
+    assert json.loads((tmp_path / "m.json").read_text())["count"] == 1
+    cases = {
+        "AAA": None, "BBB": "no archive", "CCC": "SHA-256 is not the published one", "DDD": "member's path leads elsewhere", "EEE": "archive has not exactly one member",
+        "FFF": "member is no CSV", "GGG": "archive is damaged", "HHH": "no checksum file", "III": "checksum file without a SHA-256",
+    }
+    members = {"DDD": {"../x.csv": ""}, "EEE": {"a.csv": "", "b.csv": ""}, "FFF": {"a.txt": ""}}
+    for s in list(cases)[2:]:
+        path = mirror / f"{s}/5m/{s}-5m-2025-01.zip"
+        zipped(path, members.get(s, {"a.csv": text}))
+        side = path.with_name(path.name + ".CHECKSUM")
+        if s == "CCC":
+            side.write_text("0" * 64)
+        elif s == "GGG":
+            path.write_bytes(b"PK broken")
+            side.write_text(hashlib.sha256(b"PK broken").hexdigest())
+        elif s == "HHH":
+            side.unlink()
+        elif s == "III":
+            side.write_text("nothing")
+    wide = R.archive_plan(spark.createDataFrame([(s,) for s in cases], "symbol string"), "5m", "2025-01", "2025-01")
+    got = {r["symbol"]: r["problem"] for r in R.bring_in(wide, "5m", str(mirror), str(tmp_path / "raw2")).collect()}
+    assert got == cases and not (tmp_path / "x.csv").exists() and not list((tmp_path / "raw2").rglob("*.part"))
+    with pytest.raises(ValueError, match="8 of 9"):
+        R.ingest(wide, "5m", str(mirror), str(tmp_path / "raw2"), tmp_path / "m.json")
+    assert json.loads((tmp_path / "m.json").read_text())["count"] == 1
+    assert R.archive_plan(spark.createDataFrame([("A",), ("B",)], "symbol string"), "5m", "2025-11", "2026-01").count() == 6
+    assert digest in {r["sha256"] for r in R.file_hashes(spark, str(mirror)).collect()}
+
+
+def test_archives_over_http(spark, tmp_path):
+    import threading
+    from functools import partial
+    from http.server import SimpleHTTPRequestHandler, ThreadingHTTPServer
+
+    zipped(tmp_path / "mirror/AAA/5m/AAA-5m-2025-01.zip", {"a.csv": "1\n2"})
+    server = ThreadingHTTPServer(("127.0.0.1", 0), partial(SimpleHTTPRequestHandler, directory=str(tmp_path / "mirror")))
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        plan = R.archive_plan(spark.createDataFrame([("AAA",)], "symbol string"), "5m", "2025-01", "2025-02")
+        got = {r["month"]: (r["csv_lines"], r["problem"]) for r in R.bring_in(plan, "5m", f"http://127.0.0.1:{server.server_port}", str(tmp_path / "raw")).collect()}
+    finally:
+        server.shutdown()
+    assert got == {"2025-01": (2, None), "2025-02": (None, "no archive")}
 
 
 def test_klines(spark, tmp_path):
@@ -76,9 +111,16 @@ def test_klines(spark, tmp_path):
             K.read_klines(spark, put(tmp_path / f"bad/{name}-5m-2025-01.csv", rows))
     with pytest.raises(ValueError, match="high_too_low"):
         K.normalize(spark, [put(tmp_path / "high/F-5m-2025-01.csv", [lines()[0].replace(",2,", ",.9,"), *lines()[1:]])], STEP * 1000)
+    late = [*lines()[:1], "open_time,open,high,low,close,volume,close_time,quote_volume,trade_count,taker_buy_volume,taker_buy_quote_volume,ignore", *lines()[1:]]
+    with pytest.raises(ValueError, match="unreadable"):  # a header belongs on top
+        K.read_klines(spark, put(tmp_path / "late/G-5m-2025-01.csv", late))
     K.check_months([a, b], ["2025-01"])
-    with pytest.raises(ValueError, match="missing: \\['2025-02'\\]"):
+    with pytest.raises(ValueError, match="A: months missing: \\['2025-02'\\]"):
         K.check_months([a], ["2025-01", "2025-02"])
+    with pytest.raises(ValueError, match="A: .*2025-02.*; B: .*2025-01"):
+        K.check_months(["x/A-5m-2025-01.csv", "x/B-5m-2025-02.csv"], ["2025-01", "2025-02"])
+    with pytest.raises(ValueError, match="no files"):
+        K.check_months([], ["2025-01"])
 
 
 def test_sinks(spark, tmp_path):
@@ -113,11 +155,14 @@ def test_release(spark, tmp_path):
     (tmp_path / "README.md").write_bytes(b"b\r\n/home/me\n")
     (tmp_path / "bin.dat").write_bytes(b"\xff\xfe")
     rows = A.inventory(tmp_path, ["src/x.py", "README.md"])
-    assert [r["category"] for r in rows] == ["root", "source"] and A.inventory_digest(rows) == A.inventory_digest(rows[::-1])
+    assert [r["category"] for r in rows] == ["repository", "source"] and A.inventory_digest(rows) == A.inventory_digest(rows[::-1])
     assert A.inventory_digest_column(spark.createDataFrame([(r["path"], r["sha256"]) for r in rows], "path string, sha256 string")).first()[0] == A.inventory_digest(rows)
     got = {r["path"].rsplit("/", 1)[1]: tuple(r)[1:] for r in A.text_audit(spark, str(tmp_path / "src/x.py"), str(tmp_path / "README.md"), str(tmp_path / "bin.dat")).collect()}
     assert got == {"x.py": (True, True, False), "README.md": (True, False, True), "bin.dat": (False, True, False)}
     assert A.porcelain_paths(" M a.py\n?? b c.py\nR  old.py -> new.py\n") == ["a.py", "b c.py", "new.py"]
+    assert [A.classify_path(p) for p in ("artifacts/evidence/a.csv", "artifacts/reports/r.html", "artifacts/x", "tests/t.py", "scripts/s.py", "configs/c.yaml", "docs/d.md", "")] == ["evidence", "report", "artifact", "test", "script", "configuration", "documentation", "other"]
+    with pytest.raises(ValueError):
+        A.porcelain_paths(" M\n")
     done = A.audit({"good": lambda: 1, "bad": lambda: 1 / 0})
     assert [r["status"] for r in done] == ["passed", "failed"]
 
@@ -127,16 +172,24 @@ def test_report(spark):
     oos = spark.createDataFrame([("a", 0.1), ("b<", 0.1)], "model string, mean_rank_ic double")
     be = spark.createDataFrame([("a", 1.0), ("b<", 7.0)], "model string, pooled_break_even_cost_bps double")
     bs = spark.createDataFrame([("a", 0.01), ("b<", -0.1)], "model string, confidence_lower double")
-    f = H.key_findings(oos, be, bs, 5.0)
-    assert [x["model"] for x in f] == ["a", "b<", None, "a"] and f[2]["value"] == 1
+    f = H.key_findings(oos, be, bs, 5.0, references=["a"])
+    assert [x["model"] for x in f] == ["a", "b<", "b<", None, "a"] and f[3]["value"] == 1
+    pf = spark.createDataFrame([("a", 0.2), ("b<", 0.3)], "model string, probability_break_even_above_focus_cost double")
+    ab = spark.createDataFrame([("a", "full", 0.0), ("a", "without_x", -0.2), ("b<", "without_y", None)], "model string, variant string, mean_rank_ic_delta_vs_full double")
+    more = H.key_findings(oos, be, bs, 5.0, pf, ab, ["a"])
+    assert len(more) == 7 and (more[5]["model"], more[6]["variant"]) == ("b<", "without_x")
     rows = H.small_rows(oos, ["model"])
-    page = H.build_report("R & D", [("Table", H.render_table(rows, ["model", "mean_rank_ic"])), ("Chart", H.render_bars(rows, "model", "mean_rank_ic", "IC"))])
-    assert "b&lt;" in page and "b<" not in page and page == H.build_report("R & D", [("Table", H.render_table(rows, ["model", "mean_rank_ic"])), ("Chart", H.render_bars(rows, "model", "mean_rank_ic", "IC"))])
-    whole = H.report_of_tables("All", {"oos_metrics": (oos, ["model"])}, f, {"oos_metrics": ("model", "mean_rank_ic")})
-    assert "Oos Metrics" in whole and "<svg" in whole and "Key findings" in whole
+    chart = H.render_bars(rows, "model", "mean_rank_ic", "IC")
+    whole = lambda *extra: H.build_report("R & D", [("Executive conclusion", H.render_table(rows, ["model", "mean_rank_ic"])), ("Evidence inventory", chart), *extra])
+    page = whole()
+    assert "b&lt;" in page and "b<" not in page and page == whole()
+    study = H.research_report("All", {"oos_model_metrics": oos}, more, 5.0, ["one < two"], [{"path": "a.csv", "bytes": 3, "sha256": "0"}])
+    assert study.count("<h2>") == 12 and "<svg" in study and "one &lt; two" in study and "a.csv" in study
     assert H.best_per_group(oos.selectExpr("*", "1 as h"), ["h"], "mean_rank_ic").first()["model"] == "a"
-    with pytest.raises(ValueError):
-        H.build_report("x", [("y", "<a href='https://z'>")])
+    with pytest.raises(ValueError, match="outside"):
+        whole(("y", "<a href='https://z'>"))
+    with pytest.raises(ValueError, match="lacks"):
+        H.build_report("x", [("y", "")])
     with pytest.raises(ValueError):
         H.render_table(rows, ["nothing"])
 

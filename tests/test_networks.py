@@ -8,25 +8,53 @@ from panelmill.operators import networks as N
 RNG = np.random.default_rng(0)
 
 
-def test_mlp_gradient_matches_differences():
-    w, x, y = N.mlp_init(5, (7, 3), 1), RNG.normal(size=(11, 5)), RNG.normal(size=11)
-    _, g = N.mlp_gradient(w, x, y)
+SHAPES = {"mlp": (N.mlp_init(5, (7, 3), 1), (11, 5)), "tcn": (N.tcn_init(3, 4, 3, 1), (5, 9, 3)), "transformer": (N.transformer_init(2, 2, 4, 8, 2, 1, 6), (3, 8, 2))}
+
+
+@pytest.mark.parametrize("kind", sorted(SHAPES))
+def test_gradients_match_differences(kind):
+    w, shape = SHAPES[kind]
+    x, y = RNG.normal(size=shape), RNG.normal(size=shape[0])
+    loss, g = N.gradient(kind, w, x, y)
+    assert loss == pytest.approx(float(((N.FORWARD[kind](w, x) - y) ** 2).mean()))
     for k in w:
-        at = tuple(int(i) for i in np.unravel_index(w[k].size // 2, w[k].shape))
-        lo, hi = ({**w, k: w[k].copy()} for _ in range(2))
-        lo[k][at] -= 1e-6
-        hi[k][at] += 1e-6
-        assert g[k][at] == pytest.approx((N.mlp_gradient(hi, x, y)[0] - N.mlp_gradient(lo, x, y)[0]) / 2e-6, rel=1e-4, abs=1e-8)
+        for at in {0, w[k].size // 2, w[k].size - 1}:
+            place = np.unravel_index(at, w[k].shape)
+            lo, hi = ({**w, k: w[k].copy()} for _ in range(2))
+            lo[k][place] -= 1e-5
+            hi[k][place] += 1e-5
+            assert g[k][place] == pytest.approx((N.gradient(kind, hi, x, y)[0] - N.gradient(kind, lo, x, y)[0]) / 2e-5, rel=1e-4, abs=1e-7), k
 
 
 def test_mlp_learns_and_stops():
     x = RNG.normal(size=(3000, 4))
     y = x[:, 0] - x[:, 1]
     g = np.arange(1000) // 10
-    w, history = N.train_mlp((x[:2000], y[:2000]), (x[2000:], y[2000:], g), (16,), epochs=12, batch=64, rate=3e-3)
-    assert N.mean_row_ic(N.mlp_forward(w, x[2000:]), y[2000:], g) > 0.9 and history[-1]["train_loss"] < history[0]["train_loss"]
-    flat, short = N.train_mlp((x[:100], y[:100]), (x[:100], np.zeros(100), np.zeros(100)), epochs=8)
-    assert len(short) == 2
+    w, history = N.train("mlp", N.mlp_init(4, (16,)), (x[:2000], y[:2000]), (x[2000:], y[2000:], g), epochs=12, batch=64, rate=3e-3)
+    assert N.mean_row_ic(N.mlp_forward(w, x[2000:]), y[2000:], g) > 0.85 and history[-1]["train_loss"] < history[0]["train_loss"]
+    start = N.mlp_init(4)
+    kept, short = N.train("mlp", start, (x[:100], y[:100]), (x[:100], np.zeros(100), np.zeros(100)), epochs=8)
+    assert len(short) == 2 and kept is start
+    with pytest.raises(ValueError):
+        N.dropout(1.0, RNG)
+
+
+@pytest.mark.parametrize("kind", ["tcn", "transformer"])
+def test_sequence_models_learn(kind):
+    x = RNG.normal(size=(900, 8, 2))
+    y = x[:, -1, 0] + x[:, -2, 1]
+    g = np.arange(300) // 10
+    start = N.tcn_init(2, 8, 3) if kind == "tcn" else N.transformer_init(2, 2, 4, 16, 1, 0, 16)
+    w, history = N.train(kind, start, (x[:600], y[:600]), (x[600:], y[600:], g), epochs=40, patience=40, batch=32, rate=3e-3, drop_rate=0.0)
+    assert N.mean_row_ic(N.FORWARD[kind](w, x[600:]), y[600:], g) > 0.6 and history[-1]["train_loss"] < 0.6 * history[0]["train_loss"]
+
+
+def test_dropout_keeps_the_mean_and_is_off_when_scoring():
+    x = np.ones((200, 200))
+    dropped = N.dropout(0.25, np.random.default_rng(0))(x)
+    assert set(np.unique(dropped.round(9))) == {0.0, round(4 / 3, 9)} and abs(dropped.mean() - 1) < 0.02
+    w, shape = SHAPES["tcn"]
+    assert np.array_equal(N.tcn_forward(w, np.ones(shape)), N.tcn_forward(w, np.ones(shape)))
 
 
 def test_minibatches_cover_every_row():

@@ -88,6 +88,13 @@ def test_purge_counts(spark):
         L.Fold(1, T0, T0, T0)
 
 
+def test_fold_boundaries_are_utc():
+    f = L.Fold.parse(1, "2026-01-01T02:00+02:00", "2026-01-01 01:00:00+00:00", "2025-12-31T22:00:00-05:00")
+    assert (f.train_end, f.validation_end, f.test_end) == (T0, T0 + timedelta(hours=1), T0 + timedelta(hours=3))
+    with pytest.raises(ValueError, match="zone"):
+        L.Fold.parse(1, "2026-01-01", "2026-01-02", "2026-01-03")
+
+
 def test_quantiles_are_exact(spark):
     rng = np.random.default_rng(3)
     values = {"a": rng.normal(size=5001), "b": np.repeat([1.0, 2.0], 300), "c": np.array([7.0]), "d": np.array([1.0, 2, 4])}
@@ -98,6 +105,10 @@ def test_quantiles_are_exact(spark):
     for k, v in values.items():
         for p in ps:
             assert got[k, p] == pytest.approx(float(np.quantile(v, p)), abs=1e-12)
+    nameless = df.where("k in ('a', 'd')").withColumn("k", F.nullif("k", F.lit("a")))
+    again = {(r["k"], r["p"]): r["quantile"] for r in N.exact_quantiles(nameless, ["k"], "v", [0.25]).collect()}
+    assert again == {(None, 0.25): pytest.approx(float(np.quantile(values["a"], 0.25))), ("d", 0.25): 1.5}
+    assert N.exact_quantiles(df.limit(0), ["k"], "v", [0.5]).count() == 0
     assert N.exact_quantiles(df, [], "v", [0.5]).first()["quantile"] == pytest.approx(float(np.median(np.concatenate([*values.values()]))))
 
 
@@ -118,6 +129,8 @@ def test_rank_ic(spark):
     for flip, want in ((False, 1.0), (True, -1.0)):
         r = R.summarize_predictions(scored(spark, flip)).first()
         assert r["mean_rank_ic"] == want and r["n_rows"] == 9 and r["n_timestamps"] == 3 and r["rank_ic_ir"] is None
+    nameless = R.summarize_predictions(scored(spark, False).withColumn("model", F.lit(None).cast("string"))).collect()
+    assert [(r["model"], r["n_rows"], r["rmse"]) for r in nameless] == [(None, 9, 0.0)]
     flat = scored(spark, False).withColumn("prediction", F.lit(1.0))
     r = R.summarize_predictions(flat).first()
     assert r["mean_rank_ic"] is None and r["n_timestamps"] == 3
@@ -158,6 +171,33 @@ def test_series_shorter_than_a_block_has_no_bootstrap(spark):
     assert sorted((r["model"], r["resample"], r["mean_value"]) for r in got) == [("long", i, 1.0) for i in range(3)]
 
 
+def test_partial_block_is_drawn(spark):
+    import hashlib
+
+    v, length, n = [float(x * x) for x in range(11)], 4, 11
+    df = spark.createDataFrame([(None, T0 + timedelta(hours=i), x) for i, x in enumerate(v)], "model string, timestamp timestamp_ntz, v double")
+    draw = lambda r, b: int(hashlib.md5(f"7|{r}|{b}".encode()).hexdigest()[:7], 16) % n
+    want = {r: sum(v[(draw(r, b) + i) % n] for b in (0, 1) for i in range(length)) + sum(v[(draw(r, "rest") + i) % n] for i in range(3)) for r in range(5)}
+    got = {r["resample"]: r["mean_value"] * n for r in Z.md5_block_bootstrap(df, "v", length, 5, 7, ["model"]).collect()}
+    assert got == pytest.approx(want)
+
+
+def test_seeded_permutations_follow_one_matrix(spark):
+    rng = np.random.default_rng(8)
+    p, t = rng.normal(size=(6, 5)), rng.normal(size=(6, 5))
+    rows = [(m, 3, T0 + timedelta(hours=h), s, float(t[h, i]), float(p[h, i] * (1 if m == "m" else -1))) for m in "mn" for h in range(6) for i, s in enumerate("ABCDE")]
+    df = spark.createDataFrame(rows, "model string, fold int, timestamp timestamp_ntz, symbol string, target double, prediction double")
+    got = {(r["model"], r["permutation"]): r["mean_rank_ic"] for r in Z.seeded_permutation_ic(df, 4, 42).collect()}
+    rank = lambda x: x.argsort(axis=1).argsort(axis=1).astype(float)
+    for k in range(4):
+        order = np.argsort(np.random.default_rng(np.random.SeedSequence([42, k, 3])).random((6, 5)), axis=1, kind="stable")
+        mixed = np.take_along_axis(rank(t), order, axis=1)
+        want = np.mean([np.corrcoef(a, b)[0, 1] for a, b in zip(rank(p), mixed)])
+        assert got["m", k] == pytest.approx(want) and got["n", k] == pytest.approx(-want)
+    short = Z.seeded_permutation_ic(df.where("not (symbol = 'A' and timestamp = '2026-01-01 00:00:00')"), 1, 42).first()
+    assert short["n_timestamps"] == 5
+
+
 def test_bootstrap():
     assert np.allclose(Z.bootstrap_means(np.full((24, 1), 3.5), 50, 6, 1), 3.5)
     x = np.arange(30.0)
@@ -229,6 +269,40 @@ def test_sequences(spark):
     assert len(w) == 6 and w[1]["window"] == [[1.0, 1.0], [11.0, 101.0], [21.0, 201.0]]
 
 
+def test_positions_across_months(spark):
+    stamps = [T0 + timedelta(days=9 * i) for i in range(12)]
+    df = spark.createDataFrame([(t,) for t in stamps] * 2, "timestamp timestamp_ntz")
+    assert [r["position"] for r in E.timestamp_positions(df).orderBy("timestamp").collect()] == list(range(12))
+
+
+def test_panel_gates(spark):
+    rows = [(T0 + timedelta(minutes=5 * t), T0 + timedelta(minutes=5 * t + 5), T0 + timedelta(minutes=5 * t + 10), T0 + timedelta(minutes=5 * t + 15), s, float(t), float(i), i - 0.5, "train") for t in range(4) for i, s in enumerate("AB")]
+    cols = "timestamp timestamp_ntz, available_time timestamp_ntz, label_end_timestamp timestamp_ntz, label_end_time timestamp_ntz, symbol string, f double, raw_target double, target double, split string"
+    good = spark.createDataFrame(rows, cols)
+    assert X.finalize_panel(good, ["f"], 2).count() == 8 and X.finalize_panel(good, ["f"], 2).schema["f"].dataType.simpleString() == "float"
+    first = F.col("timestamp") == F.lit(str(T0)).cast("timestamp_ntz")
+    for name, bad in {
+        "repeated_keys": good.union(good.limit(1)), "features_not_finite": good.withColumn("f", F.when(first, float("inf")).otherwise(F.col("f"))), "incomplete_cross_sections": good.where(~(first & (F.col("symbol") == "A"))),
+        "targets_not_centred": good.withColumn("target", F.col("target") + F.when(first, 1e-9).otherwise(0.0)), "available_after_label_end": good.withColumn("available_time", F.col("label_end_time") + F.expr("interval 1 second")), "empty": good.limit(0),
+        "targets_not_finite": good.withColumn("raw_target", F.when(first, float("inf")).otherwise(F.col("raw_target"))),
+    }.items():
+        with pytest.raises(ValueError, match=name):
+            X.finalize_panel(bad, ["f"], 2)
+    shape = lambda d: {r["check"] for r in E.panel_shape_violations(d, ["f"], MIN5).where("violations > 0").collect()}
+    assert shape(good) == set() and shape(good.where(~first | (F.col("symbol") == "B"))) == {"incomplete_sections"} and shape(good.limit(0)) == {"empty"}
+    assert shape(good.where(~(F.col("f") == 2))) == {"off_grid"}
+    cover = {r["split"]: r for r in E.endpoint_coverage(good, 2).collect()}
+    assert cover["train"]["endpoints"] == 3 and cover["train"]["excluded_for_history"] == 1 and cover["train"]["first_endpoint"] == T0 + timedelta(minutes=5)
+
+
+def test_no_prediction_is_lost_in_the_join(spark):
+    bars = make(spark, bar_rows(30))
+    scores = lambda i: spark.createDataFrame([(T0 + timedelta(minutes=5 * i), "A", 1.0)], "timestamp timestamp_ntz, symbol string, prediction double")
+    assert X.with_execution(scores(3), bars, 12).first()["execution_return"] is not None
+    with pytest.raises(Exception, match="no execution return"):
+        X.with_execution(scores(25), bars, 12).collect()
+
+
 def test_checks(spark):
     a = spark.createDataFrame([(1, 1.0), (2, 2.0)], "k int, v double")
     b = spark.createDataFrame([(1, 1.0), (2, 2.5)], "k int, v double")

@@ -1,3 +1,4 @@
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -7,6 +8,7 @@ from panelmill.operators import costs as C
 from panelmill.operators import portfolio as P
 from panelmill.operators import rebalance as Y
 from panelmill.operators import sensitivity as S
+from panelmill.operators import xsection as R
 
 MIN = 60_000_000
 T0 = datetime(2026, 1, 1)
@@ -35,8 +37,19 @@ def test_equal_scores_go_by_symbol(spark):
     assert [r["weight"] for r in w] == [-0.5, 0.0, 0.0, 0.5]
 
 
-def test_too_few_symbols_have_no_weights(spark):
-    assert {r["weight"] for r in P.rank_weights(panel(spark, [0], [[1, 2, 3, 4]]), 3, ["model"]).collect()} == {None}
+def test_too_few_symbols(spark):
+    rows = panel(spark, [0], [[1, 2, 3, 4]])
+    with pytest.raises(Exception, match="too large: 4 symbols"):
+        P.rank_weights(rows, 3, ["model"]).collect()
+    assert P.rank_weights(rows, 3, ["model"], short="skip").count() == 0
+
+
+def test_leaving_a_position_is_paid_for(spark):
+    """D is held at 01:00 and gone at 02:00."""
+    rows = panel(spark, [0, 1, 2], SCORES).where("not (symbol = 'D' and hour(timestamp) = 2)")
+    w = P.rank_weights(rows, 1, ["model"])
+    got = [r["turnover"] for r in P.portfolio_periods(w, 5 * MIN, 12, ["model"]).orderBy("timestamp").collect()]
+    assert got == [1.0, 0.0, 2.0]  # A from -1/2 to 1/2, C from 0 to -1/2, D from 1/2 to nothing
 
 
 def test_turnover_contiguous_and_after_a_gap(spark):
@@ -55,7 +68,35 @@ def test_breadth_and_exclusion_match_the_plain_portfolio(spark):
     wide = S.breadth_periods(rows, [1, 2], 5 * MIN, 12)
     assert sorted(map(tuple, wide.where("top_count = 1").select("timestamp", "gross_return", "turnover").collect())) == plain
     without = S.leave_one_out_periods(rows, ["B"], 1, 5 * MIN, 12)
-    assert without.count() == 3 and S.leave_one_out(rows, ["B"]).where("symbol = 'B'").count() == 0
+    direct = P.portfolio_periods(P.rank_weights(rows.where("symbol <> 'B'"), 1, ["model"]), 5 * MIN, 12, ["model"])
+    shown = lambda d: sorted(tuple(map(str, r)) for r in d.select("cohort", "timestamp", F.round("gross_return", 12), "turnover").collect())
+    assert without.count() == 3 and shown(without) == shown(direct)
+    assert S.leave_one_out_periods(rows.where("symbol <> 'D'"), rows.select("symbol").distinct(), 2, 5 * MIN, 12).count() == 0
+
+
+@pytest.mark.parametrize("top", [1, 2, 4])
+def test_exclusions_match_plain_portfolios_on_ragged_sections(spark, top):
+    rng = random.Random(top)
+    rows = [("m", T0 + timedelta(hours=h), s, rng.choice([0.0, 1.0, rng.random()]), rng.random()) for h in range(9) for s in "ABCDEFGHI" if rng.random() < 0.8]
+    df = spark.createDataFrame(rows, "model string, timestamp timestamp_ntz, symbol string, prediction double, execution_return double").cache()
+    shown = lambda d: sorted(tuple(map(str, r)) for r in d.select("cohort", "timestamp", F.round("gross_return", 9), F.round("turnover", 9)).collect())
+    every = S.leave_one_out_periods(df, df.select("symbol").distinct(), top, 60 * MIN, 3).cache()
+    for s in "ADI":
+        plain = P.portfolio_periods(P.rank_weights(df.where(F.col("symbol") != s), top, ["model"], short="skip"), 60 * MIN, 3, ["model"])
+        assert shown(every.where(F.col("excluded_symbol") == s)) == shown(plain)
+
+
+def test_excluded_rank_ic_matches_ranking_again(spark):
+    rng = random.Random(3)
+    value = lambda: rng.choice([None, 0.0, 0.5, 0.5, rng.random()])
+    rows = [(m, T0 + timedelta(hours=h), s, value(), value()) for m in "mn" for h in range(7) for s in "ABCDEFG" if rng.random() < 0.7] + [("m", T0 - timedelta(hours=1), "A", 1.0, 2.0)]
+    df = spark.createDataFrame(rows, "model string, timestamp timestamp_ntz, symbol string, prediction double, target double").cache()
+    got = S.leave_one_out_summary(df, ["A", "E", "none"]).cache()
+    for s in ("A", "E", "none"):
+        want = R.summarize_predictions(df.where(F.col("symbol") != s)).orderBy("model")
+        mine = got.where(F.col("excluded_symbol") == s).orderBy("model").select(want.columns)
+        for a, b in zip(mine.collect(), want.collect()):
+            assert a["model"] == b["model"] and [a[c] for c in want.columns[1:]] == pytest.approx([b[c] for c in want.columns[1:]], nan_ok=True)
 
 
 def test_contributions_add_up(spark):
