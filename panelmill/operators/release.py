@@ -123,7 +123,7 @@ def text_audit(spark: SparkSession, *paths: str) -> DataFrame:
     return files.select(
         "path",
         F.is_valid_utf8(text).alias("is_utf8"),
-        ~F.contains(F.make_valid_utf8(text), F.lit("\r")).alias("line_feeds_only"),
+        (~F.contains(F.make_valid_utf8(text), F.lit("\r"))).alias("line_feeds_only"),
         F.make_valid_utf8(text).rlike(r"/(Users|home)/[A-Za-z]").alias("names_home_folder"),
     )
 
