@@ -268,17 +268,15 @@ def flag_implausible(
     """
     fields = [*price_fields, *volume_fields]
     n_fields, n_prices = len(fields), len(price_fields)
-    narrow = [
+    slim = bars.select(
         F.col(row_id).cast("bigint").alias("id"),
         F.col(source).alias("src"),
         epoch_micros(F.col(timestamp)).alias("at"),
         F.col(activity).cast("double").alias("act"),
         *[F.col(f).cast("double").alias(f"f{i}") for i, f in enumerate(fields)],
-    ]
-    # The two conditions stand on the column itself, so that files tell which rows have a time.
-    slim, untimed = (bars.where(c).select(*narrow) for c in (F.col(timestamp).isNotNull(), F.col(timestamp).isNull()))
+    )
     columns = ["act", *[f"f{i}" for i in range(len(fields))]]
-    once = slim.groupBy("src", "at").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("id"))).alias(c) for c in columns])
+    once = slim.where("at is not null").groupBy("src", "at").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("id"))).alias(c) for c in columns])
     width, margin = chunk_days * 24 * HOUR, margin_hours * HOUR
     chunk = F.sequence(floor_div(F.col("at") - margin, width), floor_div(F.col("at") + margin, width))
     spread = (
@@ -345,12 +343,9 @@ def flag_implausible(
     value = F.coalesce(*[F.when(F.col("v.field") == i, F.col(f"i.f{i}")) for i in range(len(fields))])
     names = F.element_at(F.array(*[F.lit(f) for f in fields]), (F.col("v.field") + 1).cast("int"))
     label = F.element_at(F.array(F.lit("spike"), F.lit(""), F.lit("stuck"), F.lit("impossible")), F.col("v.kind").cast("int"))
-    timed = (
-        ids.alias("i")
-        .join(verdicts.alias("v"), F.col("i.src").eqNullSafe(F.col("v.src")) & (F.col("i.at") == F.col("v.at")))
-        .where(value.isNotNull())
-        .select(F.col("i.id").alias(row_id), names.alias("field"), label.alias("verdict"))
-    )
-    bad = [v.isNotNull() & (~is_finite(v) | (v < 0) | ((v == 0) & F.lit(i < n_prices))) for i, v in enumerate(values)]
-    hits = F.array_compact(F.array(*[F.when(b, F.lit(f)) for b, f in zip(bad, fields)]))
-    return timed.unionByName(untimed.select(F.col("id").alias(row_id), F.explode(hits).alias("field"), F.lit("impossible").alias("verdict")))
+    bad = [v.isNotNull() & (~is_finite(v) | (v < 0) | ((v == 0) & F.lit(i < n_prices))) for i, v in enumerate(F.col(f"i.f{i}") for i in range(len(fields)))]
+    found = lambda name, verdict: F.struct(name.alias("field"), verdict.alias("verdict"))
+    untimed = F.array_compact(F.array(*[F.when(b, found(F.lit(f), F.lit("impossible"))) for b, f in zip(bad, fields)]))
+    hits = F.when(F.col("i.at").isNull(), untimed).when(value.isNotNull(), F.array(found(names, label)))
+    met = ids.alias("i").join(verdicts.alias("v"), F.col("i.src").eqNullSafe(F.col("v.src")) & (F.col("i.at") == F.col("v.at")), "left")
+    return met.where(F.col("i.at").isNull() | F.col("v.kind").isNotNull()).select(F.col("i.id").alias(row_id), F.inline(hits))
