@@ -249,4 +249,6 @@ def pack_documents(sized: DataFrame, capacity: int, shards: int, doc_id: str = "
     rows = sized.select(F.col(doc_id).alias("doc_id"), F.greatest(F.coalesce(F.col(size).cast("bigint"), F.lit(0)), F.lit(0)).alias("size"))
     numbered = rows.groupBy("doc_id", "size").agg(F.count("*").alias("n")).select("doc_id", "size", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))).alias("copy"))
     sharded = numbered.select(F.pmod(F.xxhash64("doc_id", "size", "copy"), F.lit(shards)).alias("shard"), "doc_id", "size")
+    # Shards are small in bytes and long in work: a fixed number of tasks, so that they are not joined into a few.
+    sharded = sharded.repartition(3 * shards, "shard")
     return sharded.groupBy("shard").applyInPandas(run, schema).withColumnRenamed("doc_id", doc_id)
