@@ -133,8 +133,13 @@ def reduce_instance(free: SizeSet, capacity: int) -> list[list[int]]:
     fixed: list[list[int]] = []
     while True:
         before, bound = len(fixed), capacity
+        low = free.smallest(MOST_PARTNERS + 1)
+        many = sum(low) if len(low) > MOST_PARTNERS else capacity + 1  # so much room holds more partners than are tried
         while (size := free.largest(bound)) >= 0:
-            for _ in range(len(free.items[size])):
+            rest = capacity - size
+            # Within a pass the smallest items only grow; up there only one that fills the container is a proof.
+            unproven = rest >= many and not free.items.get(rest)
+            for _ in range(0 if unproven else len(free.items[size])):
                 if not free.items[size]:
                     break
                 item = free.take(size)
