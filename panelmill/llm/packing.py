@@ -76,21 +76,20 @@ class SizeSet:
             mask &= mask - 1
         return out
 
-    def best_pair(self, bound: int) -> int:
-        """Largest sum of two items that is at most ``bound``, or -1."""
-        best, mask = -1, self.mask & ((2 << bound) - 1)
+    def pair_between(self, over: int, bound: int) -> bool:
+        """Whether two items sum to more than ``over`` and at most ``bound``."""
+        mask = self.mask & ((2 << bound) - 1)
         while mask:
             a = mask.bit_length() - 1
             mask ^= 1 << a
-            if 2 * a <= best:
-                break
-            rest = bound - a
-            b = self.largest(min(rest, a))
+            if 2 * a <= over:
+                return False
+            b = self.largest(min(bound - a, a))
             if b == a and len(self.items[a]) < 2:
-                b = self.largest(min(rest, a - 1))
-            if b >= 0:
-                best = max(best, a + b)
-        return best
+                b = self.largest(min(bound - a, a - 1))
+            if b >= 0 and a + b > over:
+                return True
+        return False
 
 
 def dominating_partner_sizes(free: SizeSet, rest: int) -> list[int] | None:
@@ -107,7 +106,7 @@ def dominating_partner_sizes(free: SizeSet, rest: int) -> list[int] | None:
     fit = int((np.cumsum(low) <= rest).sum())  # so many fit at most
     if fit > MOST_PARTNERS:
         return None
-    if fit == 1 or fit == 2 and one >= free.best_pair(rest):
+    if fit == 1 or fit == 2 and not free.pair_between(one, rest):
         return [one]
     chosen: list[int] = []
     taken: list[int] = []
