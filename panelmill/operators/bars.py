@@ -79,18 +79,31 @@ def bar_rules(interval: int) -> list[tuple[str, Column]]:
 def validate_bars(bars: DataFrame, interval: int) -> DataFrame:
     """Per symbol: rows, counts of each broken rule, ``duplicate_rows``, ``off_grid_steps`` and ``missing_intervals``.
 
-    One window pass by symbol; spacing is taken between neighbouring distinct times.
+    Spacing is taken between neighbouring times within each month of a symbol, then from month to month
+    over one row each, so a symbol with very many rows is many tasks.
     """
-    us = epoch_micros(F.col("timestamp"))
-    step = us - F.lag(us).over(by_symbol())
+    us, month = epoch_micros(F.col("timestamp")), F.date_trunc("MONTH", "timestamp")
     rules = bar_rules(interval)
-    checked = bars.select("symbol", step.alias("step"), *[c.alias(n) for n, c in rules])
-    return checked.groupBy("symbol").agg(
-        F.count("*").alias("row_count"),
-        *[F.count_if(F.col(n)).alias(n) for n, _ in rules],
-        F.count_if(F.col("step") == 0).alias("duplicate_rows"),
-        F.count_if(F.pmod("step", F.lit(interval)) != 0).alias("off_grid_steps"),
-        F.sum(F.when(F.col("step") > 0, F.floor(F.col("step") / interval) - 1).otherwise(0)).cast("bigint").alias("missing_intervals"),
+    rows = bars.select("symbol", "timestamp", month.alias("__month"), us.alias("__us"), *[c.alias(n) for n, c in rules])
+    own = Window.partitionBy("symbol", "__month").orderBy("timestamp")
+    step = F.col("__step")
+
+    def spacing() -> dict[str, Column]:
+        return {
+            "duplicate_rows": F.count_if(step == 0),
+            "off_grid_steps": F.count_if(F.pmod(step, F.lit(interval)) != 0),
+            "missing_intervals": F.sum(F.when(step > 0, F.floor(step / interval) - 1).otherwise(0)),
+        }
+
+    by_month = rows.withColumn("__step", F.col("__us") - F.lag("__us").over(own)).groupBy("symbol", "__month").agg(
+        F.count("*").alias("row_count"), *[F.count_if(F.col(n)).alias(n) for n, _ in rules], *[c.alias(n) for n, c in spacing().items()],
+        F.min("__us").alias("__first"), F.max("__us").alias("__last"),
+    )
+    months = Window.partitionBy("symbol").orderBy("__month")
+    counted = ["row_count", *[n for n, _ in rules]]
+    joined = by_month.withColumn("__step", F.col("__first") - F.lag("__last").over(months))
+    return joined.groupBy("symbol").agg(
+        *[F.sum(n).alias(n) for n in counted], *[(F.sum(n) + F.coalesce(c, F.lit(0))).cast("bigint").alias(n) for n, c in spacing().items()]
     )
 
 

@@ -36,7 +36,8 @@ def _sql() -> str:
     periods = Q.periods("wts", "model", HORIZON, DAY)
     metrics = Q.cohort_metrics("per", "model").replace(f"* {Q._A}", f"* {ANNUAL}").replace(f"sqrt({Q._A})", f"sqrt({ANNUAL})")
     rounded = ", ".join(f"round({c}, 9) AS {c}" for c in _SUM)
-    return f"""WITH eb AS (SELECT event_type AS symbol, epoch_us(ts) - epoch_us(ts) % {DAY} AS us, arg_min(value, [epoch_us(ts), event_id]) AS open, arg_max(value, [epoch_us(ts), event_id]) AS close FROM events WHERE value > 0 GROUP BY 1, 2),
+    return f"""WITH eb AS (SELECT event_type AS symbol, epoch_us(ts) - epoch_us(ts) % {DAY} AS us, arg_min(price, [epoch_us(ts), event_id]) AS open, arg_max(price, [epoch_us(ts), event_id]) AS close
+        FROM (SELECT *, greatest(coalesce(value, 0), 0) + 1 AS price FROM events) GROUP BY 1, 2),
       scored AS (SELECT symbol, us, -ln(close / lag(close, {LOOKBACK}) OVER w) AS prediction, ln(lead(close, {HORIZON}) OVER w / lead(open, 1) OVER w) AS execution_return, 'reversal' AS model FROM eb {w}),
       joined AS (SELECT * FROM scored WHERE prediction IS NOT NULL AND execution_return IS NOT NULL), wts AS ({Q.weights('joined', 'model', str(TOP))}), per AS ({periods}), coh AS ({metrics})
       SELECT * REPLACE ({rounded}) FROM ({Q.portfolio_summary('coh', 'model')})"""

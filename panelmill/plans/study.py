@@ -42,10 +42,10 @@ FOLDS = [
 
 
 def event_bars(spark: SparkSession, d: str) -> DataFrame:
-    """Daily bars of the event values by event type: complete at every scale."""
-    events = table(spark, d, "events").where("value > 0")
+    """Daily bars of the event values by event type: complete at every scale.  A price is one more than the value, nothing and less counting as nothing."""
+    price = F.greatest(F.coalesce("value", F.lit(0.0)), F.lit(0.0)) + 1.0
     return B.ohlcv_bars(
-        events, F.col("event_type"), F.col("ts"), F.col("value"), F.lit(1.0), [F.col("ts"), F.col("event_id")], WEEK // 7, taker=F.col("event_id") % 2 == 0
+        table(spark, d, "events"), F.col("event_type"), F.col("ts"), price, F.lit(1.0), [F.col("ts"), F.col("event_id")], WEEK // 7, taker=F.col("event_id") % 2 == 0
     )
 
 
