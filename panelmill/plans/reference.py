@@ -418,10 +418,13 @@ def _ridge_sql() -> str:
     for p in k[:-1]:
         rows = [f"x{i}_{j} - x{p}_{i} * x{p}_{j} / x{p}_{p} AS x{i}_{j}" for i in k if i > p for j in k if j >= i] + [f"y{i} - x{p}_{i} * y{p} / x{p}_{p} AS y{i}" for i in k if i > p]
         out += f", e{p + 1} AS MATERIALIZED (SELECT * REPLACE ({', '.join(rows)}) FROM e{p})"
-    beta = [f"(y{i}{''.join(f' - x{i}_{j} * b{j}' for j in k if j > i)}) / x{i}_{i} AS b{i}" for i in reversed(k)]
-    out += f", betas AS MATERIALIZED (SELECT fold, alpha, my{''.join(f', m{i}' for i in k)}, {', '.join(beta)} FROM e{len(_RIDGE) - 1})"
+    last = f"e{len(_RIDGE) - 1}"
+    for i in reversed(k):
+        solved = f"(y{i}{''.join(f' - x{i}_{j} * b{j}' for j in k if j > i)}) / x{i}_{i} AS b{i}"
+        out += f", s{i} AS MATERIALIZED (SELECT *, {solved} FROM {last})"
+        last = f"s{i}"
     score = "my" + "".join(f" + b{i} * ({f} - m{i})" for i, f in enumerate(_RIDGE))
-    return out + f", ridge AS (SELECT fold, alpha, us, \"timestamp\", symbol, target, {score} AS prediction FROM split JOIN betas USING (fold) WHERE split = 'validation' AND {_WHOLE})"
+    return out + f", ridge AS (SELECT fold, alpha, us, \"timestamp\", symbol, target, {score} AS prediction FROM split JOIN {last} USING (fold) WHERE split = 'validation' AND {_WHOLE})"
 
 
 def _ridge_validation(s: SparkSession, d: str) -> DataFrame:
