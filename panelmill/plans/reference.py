@@ -286,11 +286,7 @@ def _stability_sql() -> str:
 _STAB = " ".join(f"mean_{k}_rank_ic {k}_rank_ic_std worst_{k}_rank_ic best_{k}_rank_ic mean_{k}_break_even_cost_bps worst_{k}_break_even_cost_bps mean_{k}_annualized_net_return_at_focus_cost worst_{k}_annualized_net_return_at_focus_cost positive_{k}_fraction_at_focus_cost" for k in ("fold", "month"))
 add(
     "stability_summary",
-    lambda s, d: T.stability_summary(
-        R.summarize_predictions(study.predictions(s, d), ["model", "fold"]),
-        R.summarize_predictions(study.predictions(s, d).withColumn("month", T.month()), ["model", "fold", "month"]),
-        _temporal(s, d, ["fold"]), _temporal(s, d, ["fold", "month"]), study.FOCUS,
-    ),
+    study.stability,
     _stability_sql(), _STAB + " positive_fold_fraction positive_month_rank_ic_fraction positive_month_break_even_fraction", 8,
 )
 # Symbols

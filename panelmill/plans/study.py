@@ -133,7 +133,14 @@ class Steps:
     @cached_property
     def dated_periods(self) -> DataFrame:
         """Periods with the fold and month of their timestamp; turnover stays as it was."""
-        return self.periods.join(self.fold_timestamps, "timestamp").withColumn("month", T.month())
+        return self._settled(self.periods.join(self.fold_timestamps, "timestamp").withColumn("month", T.month()), "periods")
+
+    @cached_property
+    def stability(self) -> DataFrame:
+        dated = self.predictions.withColumn("month", T.month())
+        by_fold, by_month = ["model", "fold"], ["model", "fold", "month"]
+        portfolio = [T.temporal_groups(self.dated_periods, by, [0.0, FOCUS], ANNUAL) for by in (by_fold, by_month)]
+        return T.stability_summary(R.summarize_predictions(dated, by_fold), R.summarize_predictions(dated, by_month), *portfolio, FOCUS)
 
     @cached_property
     def breadth_metrics(self) -> DataFrame:
@@ -230,4 +237,4 @@ fold_timestamps, dated_periods, breadth_metrics, horizon_joined, horizon_metrics
 )
 exclusion_metrics, exclusion_ic, contributions, ic_timeline = (step(n) for n in ("exclusion_metrics", "exclusion_ic", "contributions", "ic_timeline"))
 states, thresholds, regimes, regime_cells, regime_portfolio = (step(n) for n in ("states", "thresholds", "regimes", "regime_cells", "regime_portfolio"))
-dependence, regime_summary = step("dependence", settle=True), step("regime_summary", settle=True)
+dependence, regime_summary, stability = (step(n, settle=True) for n in ("dependence", "regime_summary", "stability"))
