@@ -143,3 +143,14 @@ def target_differences(predictions: DataFrame, panel: DataFrame, tolerance: floa
     joined = predictions.join(source, ["timestamp", "symbol"], "left")
     near = F.coalesce(F.abs(F.col("target") - F.col("__target")) <= tolerance, F.lit(False))
     return joined.where(~near).select("timestamp", "symbol", "target", F.col("__target").alias("panel_target"))
+
+
+def execution_alignment(predictions: DataFrame, reference: DataFrame) -> DataFrame:
+    """Per fold: predictions, those without an execution return or with another label end, and how execution differs from the label."""
+    r = reference.select("timestamp", "symbol", F.col("label_end_timestamp").alias("__end"), "execution_return")
+    joined = predictions.join(r, ["timestamp", "symbol"], "left")
+    d = F.col("execution_return") - F.col("raw_target")
+    return joined.groupBy("fold").agg(
+        F.count("*").alias("rows"), F.count_if(F.col("execution_return").isNull()).alias("without_execution"),
+        F.count_if(~F.col("__end").eqNullSafe(F.col("label_end_timestamp"))).alias("other_label_end"), F.avg(d).alias("mean_execution_minus_label"), F.avg(F.abs(d)).alias("mean_abs_execution_minus_label"),
+    )

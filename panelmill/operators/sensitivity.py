@@ -59,6 +59,14 @@ def horizon_targets(reference: DataFrame) -> DataFrame:
     return reference.withColumn("target", demean("raw_target", ["horizon_bars", "timestamp"]))
 
 
+def horizon_violations(targets: DataFrame, expected: int) -> DataFrame:
+    """Per horizon: timestamps, those that lack one of ``expected`` symbols, and those whose targets are not centred."""
+    sections = targets.groupBy("horizon_bars", "timestamp").agg(F.countDistinct("symbol").alias("held"), F.avg("target").alias("mean"))
+    return sections.groupBy("horizon_bars").agg(
+        F.count("*").alias("timestamps"), F.count_if(F.col("held") != expected).alias("incomplete_cross_sections"), F.count_if(F.abs("mean") > 1e-12).alias("targets_not_centred")
+    )
+
+
 def annual_periods(interval_minutes: float, horizon: int) -> float:
     """Non-overlapping periods of ``horizon`` bars in a year of 525,600 minutes; must be whole."""
     n = 525_600 / (interval_minutes * horizon)

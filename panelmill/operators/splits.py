@@ -82,3 +82,11 @@ def fold_summary(panel: DataFrame, folds: Sequence[Fold]) -> DataFrame:
         crossing(F.col("train_end"), "validation_end").alias("validation_purged"),
         crossing(F.col("validation_end"), "test_end").alias("test_purged"),
     )
+
+
+def split_audit(assigned: DataFrame) -> DataFrame:
+    """Rows, timestamps and spans of each fold's splits, purged rows left out."""
+    return assigned.where("split <> 'purged'").groupBy("fold", "split").agg(
+        F.count("*").alias("rows"), F.countDistinct("timestamp").alias("timestamps"), F.min("timestamp").alias("first_timestamp"), F.max("timestamp").alias("last_timestamp"),
+        F.max("label_end_timestamp").alias("last_label_end_timestamp"),
+    )

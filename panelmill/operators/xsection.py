@@ -110,3 +110,12 @@ def shifted_rank_ic(df: DataFrame, shifts: list[int], by: list[str] = ["model",
     paired = shifted.select(*by, "timestamp", "prediction_rank", F.inline(pairs))
     per = paired.where(F.col("t").isNotNull()).groupBy(*by, "shift_bars", "timestamp").agg(correlation("prediction_rank", "t").alias("rank_ic"))
     return per.groupBy(*by, "shift_bars").agg(F.avg("rank_ic").alias("mean_rank_ic"), F.count("rank_ic").alias("n_timestamps"))
+
+
+def shift_summary(shifted: DataFrame, by: list[str] = ["model"]) -> DataFrame:  # noqa: B006
+    """Shifted rank IC over folds: the mean weighted by timestamps, and mean, worst and best fold."""
+    m, n = F.col("mean_rank_ic"), F.col("n_timestamps")
+    return shifted.groupBy(*by, "shift_bars").agg(
+        F.try_divide(F.sum(m * n), F.sum(F.when(m.isNotNull(), n))).alias("mean_rank_ic"), F.avg(m).alias("mean_fold_rank_ic"),
+        F.min(m).alias("worst_fold_rank_ic"), F.max(m).alias("best_fold_rank_ic"), F.sum(n).alias("n_timestamps"),
+    )

@@ -115,11 +115,7 @@ def null_tests(s: Study, permutations: int = 50, shifts: Sequence[int] = (-48, -
         by_fold = Z.seeded_permutation_ic(s.predictions, permutations, seed)
         weight = F.col("mean_rank_ic") * F.col("n_timestamps")
         nulls = by_fold.groupBy("model", "permutation").agg((F.sum(weight) / F.sum("n_timestamps")).alias("mean_rank_ic"), F.sum("n_timestamps").alias("n_timestamps"))
-    shifted = R.shifted_rank_ic(s.predictions, list(shifts))
-    by_shift = shifted.groupBy("model", "shift_bars").agg(
-        (F.sum(F.col("mean_rank_ic") * F.col("n_timestamps")) / F.sum("n_timestamps")).alias("mean_rank_ic"), F.avg("mean_rank_ic").alias("mean_fold_rank_ic"),
-        F.min("mean_rank_ic").alias("worst_fold_rank_ic"), F.max("mean_rank_ic").alias("best_fold_rank_ic"), F.sum("n_timestamps").alias("n_timestamps"),
-    )
+    by_shift = R.shift_summary(R.shifted_rank_ic(s.predictions, list(shifts)))
     return {"null_permutation_metrics": nulls, "null_test_summary": Z.null_summary(nulls, observed), "null_time_shift_metrics": by_shift, "identity": K.identity_error(s.predictions)}
 
 
@@ -133,12 +129,9 @@ def label_audit(s: Study, panel: DataFrame | None = None) -> Tables:
     """Labels against a reference rebuilt from bars, split coverage, and the targets that predictions were scored on."""
     panel = panel if panel is not None else _panel(s)
     reference = S.horizon_reference(s.bars, [s.holding], s.interval)
-    splits = L.assign_folds(panel, s.folds).where("split <> 'purged'")
-    rows = splits.groupBy("fold", "split").agg(
-        F.count("*").alias("rows"), F.countDistinct("timestamp").alias("timestamps"), F.min("timestamp").alias("first_timestamp"), F.max("timestamp").alias("last_timestamp"),
-        F.max("label_end_timestamp").alias("last_label_end_timestamp"),
-    )
-    return {"alignment_symbol_metrics": K.alignment_audit(panel, reference), "alignment_split_metrics": rows, "model_alignment": K.model_alignment(s.predictions), "target_differences": K.target_differences(s.predictions, panel)}
+    rows = L.split_audit(L.assign_folds(panel, s.folds))
+    execution = K.execution_alignment(s.predictions, reference) if {"raw_target", "label_end_timestamp"} <= set(s.predictions.columns) else None
+    return {"alignment_symbol_metrics": K.alignment_audit(panel, reference), "alignment_split_metrics": rows, "model_alignment": K.model_alignment(s.predictions), "target_differences": K.target_differences(s.predictions, panel)} | ({"alignment_execution_metrics": execution} if execution is not None else {})
 
 
 def break_even_costs(s: Study, start: float = 0.0, end: float = 10.0, step: float = 0.1) -> Tables:

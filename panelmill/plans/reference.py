@@ -27,9 +27,12 @@ from panelmill.operators import sequences as E
 from panelmill.operators import splits as L
 from panelmill.operators import stability as T
 from panelmill.operators import xsection as R
+from panelmill.operators.release import inventory_digest_column
 from panelmill.operators.report import best_per_group
 from panelmill.plans import study
-from panelmill.plans.study_sql import FEATURE_LIST, ask, avg_rank, corr, ic, portfolio_summary, sensitivity, summary, temporal
+from panelmill.plans.analyses import family_summary
+from panelmill.plans.study_sql import FEATURE_LIST, ask, avg_rank, cohort_metrics, corr, ic, periods, portfolio_summary, sensitivity, summary, temporal, weights
+from panelmill.session import written
 from panelmill.sources.archives import archive_plan, file_hashes
 from panelmill.sources.tables import table
 from panelmill.streaming.bars import streaming_bars
@@ -153,15 +156,16 @@ add(
     "mean_fold_rank_ic worst_fold_rank_ic best_fold_rank_ic mean_rank_ic_ir mean_positive_timestamp_fraction mean_rmse mean_mae",
 )
 _SHIFTS = [-2, -1, 0, 1, 2, 4, 8]
+_SHIFTED = ask(
+    "SELECT model, fold, shift_bars, avg(rank_ic) AS mean_rank_ic, count(rank_ic) AS n_timestamps FROM ("
+    + " UNION ALL ".join(f"SELECT model, fold, us, {k} AS shift_bars, {corr('pr', 't')} AS rank_ic FROM (SELECT *, {'lead' if k >= 0 else 'lag'}(tr, {abs(k)}) OVER (PARTITION BY model, fold, symbol ORDER BY us) AS t FROM ranked) WHERE t IS NOT NULL GROUP BY model, fold, us" for k in _SHIFTS)
+    + ") GROUP BY model, fold, shift_bars",
+    f", ranked AS (SELECT *, {avg_rank('prediction', 'model, fold, us')} AS pr, {avg_rank('target', 'model, fold, us')} AS tr FROM pred)",
+)
 add(
     "shifted_rank_ic",
     lambda s, d: R.shifted_rank_ic(study.predictions(s, d), _SHIFTS),
-    ask(
-        "SELECT model, fold, shift_bars, avg(rank_ic) AS mean_rank_ic, count(rank_ic) AS n_timestamps FROM ("
-        + " UNION ALL ".join(f"SELECT model, fold, us, {k} AS shift_bars, {corr('pr', 't')} AS rank_ic FROM (SELECT *, {'lead' if k >= 0 else 'lag'}(tr, {abs(k)}) OVER (PARTITION BY model, fold, symbol ORDER BY us) AS t FROM ranked) WHERE t IS NOT NULL GROUP BY model, fold, us" for k in _SHIFTS)
-        + ") GROUP BY model, fold, shift_bars",
-        f", ranked AS (SELECT *, {avg_rank('prediction', 'model, fold, us')} AS pr, {avg_rank('target', 'model, fold, us')} AS tr FROM pred)",
-    ),
+    _SHIFTED,
     "mean_rank_ic",
 )
 # Portfolio
@@ -584,3 +588,113 @@ add(
       count(*)::DOUBLE AS volume, sum(value) AS quote_volume, count(*) AS trade_count FROM events GROUP BY 1, 2""",
     "quote_volume", 6,
 )
+# Audits and gates over whole steps
+add("shift_summary", lambda s, d: R.shift_summary(R.shifted_rank_ic(study.predictions(s, d), _SHIFTS)), f"""SELECT model, shift_bars, sum(mean_rank_ic * n_timestamps) / sum(n_timestamps) FILTER (WHERE mean_rank_ic IS NOT NULL) AS mean_rank_ic, avg(mean_rank_ic) AS mean_fold_rank_ic,
+  min(mean_rank_ic) AS worst_fold_rank_ic, max(mean_rank_ic) AS best_fold_rank_ic, sum(n_timestamps)::BIGINT AS n_timestamps FROM ({_SHIFTED}) GROUP BY model, shift_bars""", "mean_rank_ic mean_fold_rank_ic worst_fold_rank_ic best_fold_rank_ic")
+add(
+    "split_audit",
+    lambda s, d: L.split_audit(study.split_panel(s, d)),
+    ask("""SELECT fold, split, count(*) AS rows, count(DISTINCT us) AS timestamps, min("timestamp") AS first_timestamp, max("timestamp") AS last_timestamp, max(label_end_timestamp) AS last_label_end_timestamp
+      FROM split WHERE split <> 'purged' GROUP BY fold, split"""),
+)
+add(
+    "contiguous_bars",
+    lambda s, d: study.bars(s, d).withColumn("follows", B.contiguous(study.bars(s, d), study.WEEK)).groupBy("symbol").agg(F.count("*").alias("bars"), F.count_if(~F.col("follows")).alias("gaps")),
+    ask(f"SELECT symbol, count(*) AS bars, count(*) FILTER (WHERE step <> {study.WEEK}) AS gaps FROM (SELECT symbol, us - lag(us) OVER (PARTITION BY symbol ORDER BY us) AS step FROM pb) GROUP BY symbol"),
+)
+_FLOATS = [f for f in _SCALED if not f.startswith(("time_of_day", "weekday"))]
+_FLOAT_STATS = "max({c}) FILTER (WHERE feature = '{f}')::FLOAT"
+add(
+    "float_scaled_panel",
+    lambda s, d: N.apply_robust_scaler(study.split_panel(s, d).where("split = 'test'"), _scaler(s, d), _SCALED, float_first=True).select("fold", "symbol", "timestamp", *[F.col(f).cast("double").alias(f) for f in _FLOATS]),
+    ask(f"""SELECT fold, symbol, "timestamp", {', '.join(f"((s.{f}::FLOAT - {_FLOAT_STATS.format(c='q.median', f=f)})::FLOAT / {_FLOAT_STATS.format(c='q.scale', f=f)})::DOUBLE AS {f}" for f in _FLOATS)}
+      FROM split s JOIN ({_SCALER}) q USING (fold) WHERE split = 'test' GROUP BY fold, symbol, "timestamp", {', '.join('s.' + f for f in _FLOATS)}"""),
+    " ".join(_FLOATS), 4,
+)
+add(
+    "inventory_digest",
+    lambda s, d: inventory_digest_column(file_hashes(s, d).where("path LIKE '%.parquet'").withColumn("path", F.regexp_extract("path", "[^/]+$", 0))),
+    "SELECT sha256(string_agg(path || chr(0) || h || chr(10), '' ORDER BY path)) AS digest FROM (SELECT parse_filename(filename) AS path, sha256(content) AS h FROM read_blob('/root/testdata/sf0.01/*.parquet'))",
+)
+add(
+    "execution_alignment",
+    lambda s, d: K.execution_alignment(study.predictions(s, d), S.horizon_reference(study.bars(s, d), [study.HOLDING], study.WEEK)),
+    ask(f"""SELECT fold, count(*) AS rows, count(*) FILTER (WHERE execution_return IS NULL) AS without_execution, count(*) FILTER (WHERE make_timestamp(end_us) IS DISTINCT FROM label_end_timestamp) AS other_label_end,
+      avg(execution_return - raw_target) AS mean_execution_minus_label, avg(abs(execution_return - raw_target)) AS mean_abs_execution_minus_label
+      FROM pred LEFT JOIN (SELECT symbol, us, end_us, execution_return FROM href WHERE horizon_bars = {study.HOLDING}) USING (symbol, us) GROUP BY fold"""),
+    "mean_execution_minus_label mean_abs_execution_minus_label",
+)
+#: Cohorts that the gates must find missing.
+_LOST = f"cost_bps = {study.FOCUS} AND cohort = 7"
+add(
+    "cohort_set_gate",
+    lambda s, d: K.cohort_set_differences(study.metrics(s, d).where(f"NOT ({_LOST})"), ["model"], 0.0, study.FOCUS),
+    ask(f"SELECT model, cohort, 'missing' AS side FROM coh WHERE cost_bps = 0 AND (model, cohort) NOT IN (SELECT (model, cohort) FROM coh WHERE cost_bps = {study.FOCUS} AND NOT ({_LOST}))"),
+)
+add(
+    "horizon_gate",
+    lambda s, d: S.horizon_violations(S.horizon_targets(S.horizon_reference(study.bars(s, d), study.HORIZONS, study.WEEK)), 20),
+    ask("""SELECT horizon_bars, count(*) AS timestamps, count(*) FILTER (WHERE n <> 20) AS incomplete_cross_sections, count(*) FILTER (WHERE abs(m) > 1e-12) AS targets_not_centred
+      FROM (SELECT horizon_bars, us, count(DISTINCT symbol) AS n, avg(target) AS m FROM htar GROUP BY 1, 2) GROUP BY horizon_bars"""),
+)
+add(
+    "month_coverage_gate",
+    lambda s, d: K.key_differences(
+        study.predictions(s, d).withColumn("month", T.month()), study.dated_periods(s, d).where("NOT (fold = 2 AND month LIKE '%-03')"), ["model", "fold", "month"]
+    ),
+    ask("""SELECT DISTINCT model, fold, strftime("timestamp", '%Y-%m') AS "month", 'missing' AS side FROM pred
+      WHERE (model, fold, strftime("timestamp", '%Y-%m')) NOT IN (SELECT (model, fold, "month") FROM dated WHERE NOT (fold = 2 AND "month" LIKE '%-03'))"""),
+)
+_FAMILY = {"momentum": "trend", "reversal": "contrarian"}
+
+
+def _families(s: SparkSession, d: str) -> DataFrame:
+    steps = study.Steps(s, d, settle=True)
+    intervals = Z.bootstrap_summary(Z.md5_block_bootstrap(R.rank_ic(steps.predictions, ["model"]).withColumn("rank_ic", F.coalesce("rank_ic", F.lit(0.0))), "rank_ic", _BLOCK, _RES, 7, ["model"]), "mean_value", 0.95, ["model"])
+    oos = R.summarize_predictions(steps.predictions).select("model", "mean_rank_ic")
+    costs = C.break_even_summary(steps.break_even, study.ANNUAL, [0.0])
+    return family_summary(oos, costs, intervals.select("model", "confidence_lower", "confidence_upper"), _FAMILY, ["reversal"])
+
+
+add(
+    "family_summary",
+    _families,
+    ask(f"""SELECT *, CASE model {' '.join(f"WHEN '{m}' THEN '{f}'" for m, f in _FAMILY.items())} END AS model_family, mean_rank_ic - max(mean_rank_ic) FILTER (WHERE model = 'reversal') OVER () AS rank_ic_delta_vs_reversal,
+        pooled_break_even_cost_bps - max(pooled_break_even_cost_bps) FILTER (WHERE model = 'reversal') OVER () AS break_even_delta_vs_reversal_bps
+      FROM (SELECT model, mean_rank_ic FROM ({summary('pred', 'model')})) JOIN (SELECT model, sum(gross_cumulative_log_return) / sum(total_turnover) * 10000 AS pooled_break_even_cost_bps FROM becoh GROUP BY 1) USING (model)
+      JOIN (SELECT model, quantile_cont(mean_value, {(1 - 0.95) / 2}) AS confidence_lower, quantile_cont(mean_value, {1 - (1 - 0.95) / 2}) AS confidence_upper FROM ({_BOOT}) GROUP BY model) USING (model)""", _SUMS_DRAWS),
+    "mean_rank_ic pooled_break_even_cost_bps confidence_lower confidence_upper rank_ic_delta_vs_reversal break_even_delta_vs_reversal_bps", 8,
+)
+# The ablation scores: every (model, variant) of the predictions table as a portfolio of two symbols a side
+_VARIANT_KEYS, _VARIANT_TOP, _VARIANT_ANNUAL = ["model", "variant"], 2, 8760.0
+
+
+def _variant_scores(s: SparkSession, d: str) -> DataFrame:
+    """The latest finite scores, members averaged; the raw target stands for the execution return."""
+    keys = ["model", "variant", "fold", "timestamp", "symbol"]
+    rows = table(s, d, "predictions").where(is_finite(F.col("prediction")) & is_finite(F.col("target")) & is_finite(F.col("raw_target")) & F.col("timestamp").isNotNull())
+    last = rows.groupBy(*keys, "member").agg(F.max_by(F.struct("prediction", "target", "raw_target"), F.struct("loaded_at", "pred_id")).alias("x")).select(*keys, "x.*")
+    return last.groupBy(*keys).agg(F.round(F.avg("prediction"), 9).alias("prediction"), F.round(F.avg("target"), 9).alias("target"), F.round(F.avg("raw_target"), 9).alias("execution_return"))
+
+
+def _variants(s: SparkSession, d: str) -> DataFrame:
+    rows = written(_variant_scores(s, d), "variants")
+    held = P.rank_weights(rows, _VARIANT_TOP, [*_VARIANT_KEYS, "fold"], short="skip")
+    cohorts = P.cohort_metrics(P.portfolio_periods(held, FIVE_MINUTES, study.HOLDING, _VARIANT_KEYS), [0.0], _VARIANT_ANNUAL, _VARIANT_KEYS)
+    portfolio = C.sensitivity_break_even(cohorts, _VARIANT_KEYS).withColumnRenamed("mean_turnover", "portfolio_mean_turnover")
+    return M.delta_vs_full(R.summarize_predictions(rows, [*_VARIANT_KEYS]).select(*_VARIANT_KEYS, "mean_rank_ic", "n_rows"), ["mean_rank_ic"]).join(portfolio, _VARIANT_KEYS)
+
+
+_VARIANT_ROWS = """vlast AS (SELECT * FROM predictions WHERE isfinite(prediction) AND isfinite(target) AND isfinite(raw_target) AND "timestamp" IS NOT NULL
+      QUALIFY row_number() OVER (PARTITION BY model, variant, fold, "timestamp", symbol, member ORDER BY loaded_at DESC NULLS LAST, pred_id DESC) = 1),
+  vs AS (SELECT model, variant, fold, symbol, epoch_us("timestamp") AS us, round(avg(prediction), 9) AS prediction, round(avg(target), 9) AS target, round(avg(raw_target), 9) AS execution_return FROM vlast GROUP BY ALL)"""
+add(
+    "variant_portfolio_summary",
+    _variants,
+    f"""WITH {_VARIANT_ROWS}, vw AS ({weights('vs', 'model, variant, fold', str(_VARIANT_TOP))}), vp AS ({periods('vw', 'model, variant', study.HOLDING, FIVE_MINUTES)}),
+      vc AS ({cohort_metrics('vp', 'model, variant', '[0.0::DOUBLE]').replace(f'* {study.ANNUAL}', f'* {_VARIANT_ANNUAL}').replace(f'sqrt({study.ANNUAL})', f'sqrt({_VARIANT_ANNUAL})')}),
+      vi AS (SELECT model, variant, mean_rank_ic, n_rows FROM ({summary('vs', 'model, variant')}))
+      SELECT vi.*, f.mean_rank_ic AS full_mean_rank_ic, vi.mean_rank_ic - f.mean_rank_ic AS mean_rank_ic_delta_vs_full, s.* EXCLUDE (model, variant, mean_turnover), s.mean_turnover AS portfolio_mean_turnover
+      FROM vi LEFT JOIN (SELECT model, mean_rank_ic FROM vi WHERE variant = 'full') f USING (model) JOIN ({sensitivity('vc', 'model, variant')}) s USING (model, variant)""",
+    "mean_rank_ic full_mean_rank_ic mean_rank_ic_delta_vs_full portfolio_mean_turnover " + _BE + " mean_gross_annualized_return mean_zero_cost_sharpe positive_cohort_fraction", 6,
+)
