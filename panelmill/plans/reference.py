@@ -696,5 +696,5 @@ add(
       vi AS (SELECT model, variant, mean_rank_ic, n_rows FROM ({summary('vs', 'model, variant')}))
       SELECT vi.*, f.mean_rank_ic AS full_mean_rank_ic, vi.mean_rank_ic - f.mean_rank_ic AS mean_rank_ic_delta_vs_full, s.* EXCLUDE (model, variant, mean_turnover), s.mean_turnover AS portfolio_mean_turnover
       FROM vi LEFT JOIN (SELECT model, mean_rank_ic FROM vi WHERE variant = 'full') f USING (model) JOIN ({sensitivity('vc', 'model, variant')}) s USING (model, variant)""",
-    "mean_rank_ic full_mean_rank_ic mean_rank_ic_delta_vs_full portfolio_mean_turnover " + _BE + " mean_gross_annualized_return mean_zero_cost_sharpe positive_cohort_fraction", 6,
+    "mean_rank_ic full_mean_rank_ic mean_rank_ic_delta_vs_full portfolio_mean_turnover " + _BE + " mean_gross_annualized_return mean_zero_cost_sharpe positive_cohort_fraction",
 )
