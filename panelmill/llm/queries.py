@@ -12,6 +12,7 @@ from panelmill.llm.bpe import encode_texts
 from panelmill.llm.packing import pack_documents
 from panelmill.llm.subjects import assign_subjects
 from panelmill.llm.topn import top_n_latest
+from panelmill.session import written
 from panelmill.sources.tables import table
 
 #: Vocabulary file of byte_bpe_50k; the same path on every worker.
@@ -42,7 +43,7 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_audit(spark: SparkSession, d: str) -> DataFrame:
     """What must hold of any packing: every document once, whole unless it exceeds a container, no container over its capacity."""
-    packed = p7_containers(spark, d)
+    packed = written(p7_containers(spark, d), "containers")  # read three times below
     size, parts = F.sum("n_tokens"), F.count("*")
     by_container = packed.groupBy("container").agg(size.alias("size")).agg(F.count_if(F.col("size") > CAPACITY).alias("containers_over_capacity"))
     rows = packed.groupBy("doc_id").agg(
