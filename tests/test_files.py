@@ -204,3 +204,15 @@ def test_streaming_bars_equal_batch(spark, tmp_path):
     got = sorted(map(str, spark.read.schema(make(df).schema).parquet(str(tmp_path / "out")).collect()))
     want = sorted(map(str, make(df).collect()))
     assert set(got) <= set(want) and len(got) >= len(want) - 8  # the newest bars stay open until the watermark passes
+
+
+def test_written_steps(spark):
+    from pathlib import Path
+
+    from panelmill.session import drop_written, written
+
+    drop_written(spark)
+    df = written(spark.createDataFrame([(1, "a"), (2, None)], "k int, v string"), "step")
+    at = Path(df.inputFiles()[0].removeprefix("file://"))
+    assert sorted(map(tuple, df.collect()), key=str) == [(1, "a"), (2, None)] and at.exists() and "FileScan" in df._jdf.queryExecution().toString()
+    assert drop_written(spark) == 1 and not at.exists()
