@@ -131,7 +131,7 @@ def require_self_contained(page: str) -> None:
         raise ValueError(f"report lacks: {missing}")
 
 
-#: Sections of a research report in order, and the evidence tables that each shows (those that are given).
+# The headings of a research report in order; beside each the evidence tables it shows, where they are given.
 SECTIONS: list[tuple[str, list[str]]] = [
     ("Executive conclusion", []),
     ("Key findings", []),
