@@ -259,6 +259,14 @@ def test_first_best_takes_the_smallest_of_equals(spark):
     assert M.first_best(df, "m", ["fold"]).first()["alpha"] == 0.1
 
 
+def test_first_best_sees_no_order_of_summation(spark):
+    means = [0.1 + 0.2 + 0.3, 0.3 + 0.2 + 0.1]  # differ in the last digit
+    assert means[0] != means[1]
+    rows = [(1, 0.1, min(means)), (1, 1.0, max(means)), (1, 10.0, None), (2, 0.1, 0.5), (2, 1.0, 0.5 + 1e-9), (3, 1.0, None), (3, 0.1, None), (4, 0.1, float("nan")), (4, 1.0, -0.2)]
+    got = M.first_best(spark.createDataFrame(rows, "fold int, alpha double, m double"), "m", ["fold"])
+    assert got.columns == ["fold", "alpha", "m"] and {r["fold"]: r["alpha"] for r in got.collect()} == {1: 0.1, 2: 1.0, 3: 0.1, 4: 1.0}
+
+
 def test_sequences(spark):
     rows = [(T0 + timedelta(minutes=5 * t), s, 0.0, float(10 * t + i), float(100 * t + i), "test" if t != 5 or s == "A" else "purged") for t in range(8) for i, s in enumerate("AB")]
     df = spark.createDataFrame(rows, "timestamp timestamp_ntz, symbol string, target double, f1 double, f2 double, split string")
